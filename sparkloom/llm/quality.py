@@ -91,7 +91,6 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
     size. The calibration pools 400 steps of the raw score. Without labels every score is 1/2; with one class all
     scores lie near it.
     """
-    spark = feats.sparkSession
     rows = cut(feats.join(labelled(labels, label), "doc_id").select("f", "fold", "y").repartition(parts))
     fit = rows.where("fold <> 3")
     sums = fit.agg(
@@ -107,13 +106,12 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
     model = Model(mean, scale, rng.normal(size=(N_FEATURES, dim)) / width, rng.uniform(0, 2 * np.pi, dim), np.zeros(size), np.array([0.0]), np.array([0.5]))
     if empty:
         return model
-    shared = spark.sparkContext.broadcast(model)
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.zeros((size, size)), np.zeros(size)
         for x in batches:
             if x.num_rows:
-                z, y = shared.value.map(matrix(x.column(0))), np.asarray(x.column(1))
+                z, y = model.map(matrix(x.column(0))), np.asarray(x.column(1))
                 a += z.T @ z
                 b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([np.vstack([a, b]).tobytes()], pa.binary())], names=["sums"])
@@ -122,12 +120,11 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
     for r in fit.select("f", "y").mapInArrow(normal, "sums binary").collect():  # `parts` matrices
         total += np.frombuffer(r["sums"]).reshape(size + 1, size)
     model.weights = np.linalg.solve(total[:-1] + ridge * max(1, sums["n"]) ** 0.5 * np.eye(size), total[-1])
-    shared = spark.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.raw(matrix(x.column(0)))), x.column(1)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(model.raw(matrix(x.column(0)))), x.column(1)], names=["x", "y"])
 
     steps = rows.where("fold = 3").select("f", "y").mapInArrow(rate, "x double, y double").groupBy((F.ceil(F.col("x") * 200) / 200).alias("x")).agg(F.sum("y").alias("s"), F.count("*").alias("n"))
     points = [(r["x"], r["s"], r["n"]) for r in steps.where("x BETWEEN -1 AND 2").collect()]
@@ -140,11 +137,10 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
 
 
 def score_quality(feats: DataFrame, model: Model) -> DataFrame:
-    shared = feats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = shared.value.score(matrix(b.column(1))) if b.num_rows else np.zeros(0)
+            scores = model.score(matrix(b.column(1))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return feats.mapInArrow(run, "doc_id bigint, score double")

@@ -131,22 +131,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, largest: int
     total = F.broadcast(counts.where("pattern IS NULL").select(F.col("t").alias("tt"), F.col("n").alias("nn")))  # one row
     odds = F.log((F.col("t") + 0.5) / (F.col("tt") - F.col("t") + 0.5)) - F.log((F.col("n") - F.col("t") + 0.1) / (F.col("nn") - F.col("tt") - (F.col("n") - F.col("t")) + 0.5))
     best = (
-        counts.where("pattern IS NOT NULL AND t >= 2")
+        counts.where("pattern IS NOT NULL AND t >= 3")
         .crossJoin(total)
-        .where("t >= greatest(2, 0.002 * tt) AND (n - t) <= 0.03 * t AND tt > 0 AND nn > tt")
+        .where("t >= greatest(3, 0.01 * tt) AND (n - t) <= 0.03 * t AND tt > 0 AND nn > tt")
         .select("pattern", "t", odds.alias("w"))
         .orderBy(F.desc("t"), "pattern")
         .limit(largest)
         .collect()
     )
     lex = Lexicon(prefixes={r["pattern"]: min(8.0, r["w"]) for r in best if r["w"] > 1})
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        a = lexicon.automaton()
+        a = lex.automaton()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.raw(t, a) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([lex.raw(t, a) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "y"])
 
     step = F.when(F.col("x") <= 0, 0.0).otherwise(F.pow(F.lit(1.25), F.ceil(F.log(F.col("x")) / F.log(F.lit(1.25)))))
     points = [
@@ -160,13 +158,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, largest: int
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score) of each row, 0 to 1; null and empty texts hold no toxic word and get the lowest score."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        a = lex.automaton()
+        a = lexicon.automaton()
         for b in batches:
-            scores = [min(1.0, lex.score(t, a)) for t in b.column(1).to_pylist()]
+            scores = [min(1.0, lexicon.score(t, a)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
@@ -176,13 +172,11 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
     """The rows whose text scores below the threshold, with all their columns; one pass, no shuffle."""
     schema = docs.schema
     where = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        a = lex.automaton()
+        a = lexicon.automaton()
         for b in batches:
-            yield b.filter(pa.array([lex.score(t, a) < threshold for t in b.column(where).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([lexicon.score(t, a) < threshold for t in b.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 
