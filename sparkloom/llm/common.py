@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, though use names it in lambdas, where the optimizer may inline it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without its columns of these names, whatever their case: an operator's own output columns win."""
     taken = {n.lower() for n in names}
