@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -63,8 +64,11 @@ def records(pages: DataFrame, smallest: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, smallest: int = 0) -> str:
-    """Archives below path, of about the size that Spark advises for a partition; a task that is run again replaces its file."""
-    records(pages, smallest).select(F.col("record").alias("value")).hint("rebalance").write.mode("overwrite").option("lineSep", CRLF).text(path)
+    """Compressed archives below path, one for each partition of the join by digest; a task that is run again replaces its file.
+
+    Each file is one gzip member, so offsets in the index count in what it holds, not in the file itself.
+    """
+    records(pages, smallest).select(F.col("record").alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
     return path
 
 
@@ -111,7 +115,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for offset, length, fields, block in parse(content.as_py()):
+                for offset, length, fields, block in parse(gzip.decompress(content.as_py()) if file.endswith(".gz") else content.as_py()):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"Content-Length: (\d+)", head)[1])
                     digest = fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
