@@ -106,8 +106,11 @@ def unsqueeze(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-MARK = np.dtype([("start", "<i4"), ("n", "<i4")])
-#: kind 0: pieces for a shard; 1: repeated windows of a document; 2: pieces of a document whose words are asked for, 3: likewise, window by window.
+#: Repeated windows: document, first of them, how many.
+MARK = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+#: Pieces whose words are asked for; hot: window by window.
+ASK = np.dtype([*PIECE.descr, ("hot", "i1")])
+#: kind 0: pieces or words for a shard (id); 1: marks, 2: asked pieces, both of a group of documents (id).
 ROW = "kind tinyint, id bigint, data binary"
 
 
@@ -120,10 +123,15 @@ def rows_of(kind: int, ids: np.ndarray, data: np.ndarray) -> Iterator[tuple[int,
         yield kind, int(ids[a]), squeeze(data[a:b])
 
 
-def marks_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = np.empty(len(p), MARK)
-    m["start"], m["n"] = p["start"], p["n"]
-    return p["doc"], m
+def marks_of(doc: np.ndarray, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    m = np.empty(len(doc), MARK)
+    m["doc"], m["start"], m["n"] = doc, start, n
+    return m
+
+
+def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    """The group in which what is found about a document travels, so that a task writes a blob a group and not a row a document."""
+    return (mixed(doc.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
 
 
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -204,18 +212,21 @@ def repeats(shard: list[tuple[int, int, int, np.ndarray]], width: int = WIDTH) -
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(id, data), the starts and numbers of repeated windows, and (id, compressed text), of docs (id, text) with distinct ids."""
+    """(id, data), a row of marks for each document that has repeated windows, and (id, compressed text), of docs (id, text) with distinct ids."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
 
+    def marked(m: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        return rows_of(1, group_of(m["doc"], shards), m)
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [pieces(i, tokens(t), width, gram) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if not found:
                 continue
             p, first = firsts(np.concatenate(found))  # a repeat within the batch needs no shuffle
-            yield batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *rows_of(1, *marks_of(p[~first]))])
+            yield batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first]))])
 
     path = scratch(spark, "pieces")
     docs.mapInArrow(cut_up, ROW).write.parquet(path)
@@ -224,13 +235,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_id(batches):
             p, first = firsts(np.concatenate([unsqueeze(x, PIECE) for x in blobs]))
-            out = [*rows_of(1, *marks_of(p[~first]))]
+            out = [*marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first]))]
             p = p[first]
             if len(p):
                 new = np.append(True, p["key"][1:] != p["key"][:-1])
                 count = np.diff(np.append(np.flatnonzero(new), len(p)))[np.cumsum(new) - 1]
-                for kind, chosen in ((2, (count > 1) & (count <= HOT)), (3, count > HOT)):
-                    out += rows_of(kind, p["doc"][chosen], p[chosen])
+                p, count = p[count > 1], count[count > 1]
+                asked = np.empty(len(p), ASK)
+                for f in PIECE.names:
+                    asked[f] = p[f]
+                asked["hot"] = count > HOT
+                out += rows_of(2, group_of(p["doc"], shards), asked)
             yield batch_of(out)
 
     path2 = scratch(spark, "asked")
@@ -242,26 +257,28 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "text"])
 
     texts = docs.mapInArrow(pack, "id bigint, text binary")
-    asked = stage2.where("kind >= 2").groupBy("id").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))  # of one document: its pieces
+    asked = by_document(stage2.where("kind = 2"), ASK)
 
     def give_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p: list[np.ndarray] = []  # of each document: key, doc, start, number of words
             words: list[np.ndarray] = []
             single: list[np.ndarray] = []
-            for doc, asked_, text in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, data, text in zip(*(c.to_pylist() for c in b.columns)):
                 w = tokens(zstandard.decompress(text).decode("utf-8", "surrogatepass"))
-                sums = prefix_sums(w)
-                for x in asked_:
-                    q = unsqueeze(x["data"], PIECE)
+                sums, every = prefix_sums(w), unsqueeze(data, ASK)
+                for hot in (0, 1):
+                    q = every[every["hot"] == hot]
+                    if not len(q):
+                        continue
                     starts, lengths, keys = q["start"], q["n"] + np.int32(width - 1), q["key"]
-                    if x["kind"] == 3:
+                    if hot:
                         starts = np.concatenate([np.arange(s, s + n) for s, n in zip(q["start"].tolist(), q["n"].tolist())])
                         lengths, keys = np.full(len(starts), width), spans_hash(sums, starts, width)
                     head = np.empty(len(starts), WORDS)
                     head["key"], head["doc"], head["start"], head["len"] = keys, doc, starts, lengths
                     p.append(head)
-                    single.append(np.full(len(head), x["kind"] == 3))
+                    single.append(np.full(len(head), bool(hot)))
                     words += [w[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist())]
             if not p:
                 continue
@@ -269,9 +286,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             rank = np.lexsort((head["start"], head["doc"], head["key"], one))
             same = (head["key"][rank][1:] == head["key"][rank][:-1]) & one[rank][1:] & one[rank][:-1]
             repeated = rank[np.append(False, same)]  # a hot key's windows that an earlier row of the batch has too
-            m = np.ones(len(repeated), MARK)
-            m["start"] = head["start"][repeated]
-            rows = [*rows_of(1, head["doc"][repeated], m)]
+            rows = [*marked(marks_of(head["doc"][repeated], head["start"][repeated], 1))]
             left = rank[~np.append(False, same)]
             shard = (head["key"][left] % np.uint64(shards)).astype(np.int64)
             left, shard = left[np.argsort(shard, kind="stable")], np.sort(shard)
@@ -308,15 +323,25 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             for doc, start in repeats(sorted(((k[0], *v) for k, v in found.items()), key=lambda x: x[:3]), width):
                 docs_.append(doc)
                 starts.append(start)
-            m = np.ones(len(docs_), MARK)
-            m["start"] = starts
-            yield batch_of([*rows_of(1, np.array(docs_, np.int64), m)])
+            yield batch_of([*marked(marks_of(np.array(docs_, np.int64), np.array(starts, np.int32), 1))])
 
-    worded = asked.join(texts, "id").select("id", "asked", "text").mapInArrow(give_words, ROW)
+    worded = asked.join(texts, "id").select("id", "data", "text").mapInArrow(give_words, ROW)
     path3 = scratch(spark, "matched")
     worded.repartition(F.col("kind"), F.col("id")).sortWithinPartitions("kind", "id").mapInArrow(match, ROW).write.parquet(path3)
     marks = [x.where("kind = 1") for x in (stage1, stage2, spark.read.parquet(path3))]
-    return marks[0].unionByName(marks[1]).unionByName(marks[2]).select("id", "data"), texts
+    return by_document(marks[0].unionByName(marks[1]).unionByName(marks[2]), MARK), texts
+
+
+def by_document(rows: DataFrame, dtype: np.dtype) -> DataFrame:
+    """(id, data): one row for each document, from blobs of groups of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_id(batches):
+            a = np.concatenate([unsqueeze(x, dtype) for x in blobs])
+            out = [*rows_of(0, a["doc"], a)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["id", "data"])
+
+    return rows.repartition(F.col("id")).sortWithinPartitions("kind", "id").mapInArrow(run, "id bigint, data binary")
 
 
 WORDS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("len", "<i4")])
@@ -356,7 +381,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
 def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
     marks, texts = repeated_windows(docs, width, gram)
-    gathered = marks.groupBy("id").agg(F.collect_list("data").alias("data"))  # of one document: no more than its windows
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,10 +390,9 @@ def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 n = len(words)
                 if data:
                     steps = np.zeros(n + 1, np.int64)
-                    for blob in data:
-                        m = unsqueeze(blob, MARK)
-                        np.add.at(steps, m["start"], 1)
-                        np.add.at(steps, m["start"] + m["n"] + (width - 1), -1)
+                    m = unsqueeze(data, MARK)
+                    np.add.at(steps, m["start"], 1)
+                    np.add.at(steps, m["start"] + m["n"] + (width - 1), -1)
                     gone = np.cumsum(steps[:n]) > 0
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
@@ -377,7 +400,7 @@ def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return texts.join(gathered, "id", "left").select("id", "text", "data").mapInArrow(finish, "id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return texts.join(marks, "id", "left").select("id", "text", "data").mapInArrow(finish, "id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
 
 
 def match_reference(docs: DataFrame, reference: DataFrame, shortest: int = WIDTH, limit: int = 64 << 20) -> DataFrame:
