@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..session import cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
