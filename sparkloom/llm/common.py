@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these six ASCII characters: space, tab, line feed, vertical tab, form feed, carriage return.
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import cut, scratch, shared_dir, table
 
+__all__ = ["bind", "cut", "fold_of", "labelled", "pool_adjacent", "scratch", "shared_dir", "table", "without"]
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, though use names it in lambdas, where the optimizer may inline it for each element."""
@@ -78,7 +54,3 @@ def pool_adjacent(points: list[tuple[float, float, float]], prior: float = 1.0)
     for _, s, n in blocks:
         values.append(max((s + prior / 2) / (n + prior), values[-1] if values else 0.0))
     return [b[0] for b in blocks], values
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
