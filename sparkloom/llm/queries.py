@@ -6,20 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, secrets, simhash, substrings, toxicity, warc
+from . import decontaminate, licenses, media, mixing, quality, secret_scans, simhash, substrings, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": lambda s, d: quality.op1_quality(table(s, d, "documents"), table(s, d, "labels")),
-    "op2_secrets": lambda s, d: secrets.op2_secrets(table(s, d, "documents")),
+    "op2_secrets": lambda s, d: secret_scans.op2_secrets(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.op3_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op4_decontamination": lambda s, d: decontaminate.op4_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op5_substring_dedup": lambda s, d: substrings.op5_substring_dedup(table(s, d, "documents")),
     "op6_licenses": lambda s, d: licenses.op6_licenses(table(s, d, "documents")),
     "op7_warc": lambda s, d: warc.op7_warc(table(s, d, "pages")),
     "op8_simhash": lambda s, d: simhash.op8_simhash(table(s, d, "documents")),
+    "op10_media": lambda s, d: media.op10_media(table(s, d, "embeddings")),
     "op9_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
 }
 
