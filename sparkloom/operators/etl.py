@@ -94,5 +94,5 @@ def audit(cleaned: DataFrame) -> DataFrame:
 
 
 def matches_safe(c: Column) -> Column:
-    """Words apart by single white space, without nested quantifiers; only this form of the predicate is offered."""
-    return c.rlike(r"^(?U)\w+(?:\s\w+)*\s?$")
+    """Words apart by single white space. Possessive quantifiers never go back, and loop where greedy groups would recurse once a word."""
+    return c.rlike(r"^(?U)\w++(?:\s\w++)*+\s?$")
