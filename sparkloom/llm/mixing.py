@@ -50,17 +50,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     the word null, and repeated rows get equal counts. An empty table gives an empty result.
     """
     d = without(docs, "n_copies", "copy", "shuffle_key")
-    table = rates(d, weights, size).select(F.col("source").alias("_source"), "cdf")
+    table = rates(d, weights, size).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    same = d["source"].eqNullSafe(F.col("_source"))
+    same = d["source"].eqNullSafe(F.col("__mix_source"))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = d.join(F.broadcast(table), same)
     else:  # each rate 16 times, so that no source's documents meet in one task
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = d.withColumn("_salt0", F.pmod(F.xxhash64(key), F.lit(16))).join(salted, same & (F.col("_salt0") == F.col("_salt"))).drop("_salt", "_salt0")
+        salted = table.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = d.withColumn("__mix_salt0", F.pmod(F.xxhash64(key), F.lit(16))).join(salted, same & (F.col("__mix_salt0") == F.col("__mix_salt"))).drop("__mix_salt", "__mix_salt0")
     u = uniform(seed, key)
-    n = F.size(F.filter("cdf", lambda c: c <= u))
-    copies = joined.withColumn("n_copies", n).drop("cdf", "_source").where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    n = F.size(F.filter("__mix_cdf", lambda c: c <= u))
+    copies = joined.withColumn("n_copies", n).drop("__mix_cdf", "__mix_source").where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("_"), F.col("copy").cast("string"))))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 

@@ -147,7 +147,8 @@ def score_quality(feats: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Score and decision of each row; null and empty texts are scored by their (zero) statistics. Repeated rows stay."""
+    """Score and decision of each row; null and empty texts are scored by their (zero) statistics. Repeated rows stay; rows without
+    doc_id keep a null id and are not held out."""
     feats = cut(features(docs))
     return score_quality(feats, train(feats, labels)).select(
         "doc_id",

@@ -182,6 +182,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Score and decision of each row, repeated ones too. Rows without doc_id keep a null id and are not held out."""
     scored = score_toxicity(docs, learn(docs, labels))
     return scored.select(
         "doc_id",
