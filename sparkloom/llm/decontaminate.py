@@ -15,7 +15,7 @@ UNITS = (
 )
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: A word or number, with the sentence mark or line feed before it if there is one.
-TOKEN = r"(?:[.!?\n]\s*)?[\p{L}\p{M}]+|(?:[.!?\n]\s*)?[0-9]+(?:[.,:/][0-9]+)*"
+TOKEN = r"(?:[.!?\n]\s*+)?+(?:[\p{L}\p{M}]++|[0-9]++(?:[.,:/][0-9]++)*+)"
 #: Template windows of so many tokens; of which at least half must be words. Items below LEAST tokens are too short to prove anything.
 WINDOW, LEAST = 13, 6
 #: Up to so many windows of the benchmark are broadcast (24 bytes each).
@@ -32,7 +32,7 @@ def template(tokens: Column) -> Column:
     def one(t: Column) -> Column:
         low = F.lower(t)
         return (
-            F.when(t.rlike(r"^[a-z\x{DF}-\x{FF}]"), F.when(low.isin(*UNITS), F.lit(UNIT)).otherwise(low))
+            F.when((t >= "a") & (t < "{"), F.when(low.isin(*UNITS), F.lit(UNIT)).otherwise(low))  # most words: no pattern is run
             .when(t.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"), F.lit(NAME))
             .when(t.rlike(r"[0-9]$"), F.lit(NUM))
             .otherwise(F.regexp_replace(low, r"^[.!?\n]\s*", ""))
@@ -41,6 +41,11 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
+def hashed(tokens: Column) -> Column:
+    """A 64-bit hash of each token; a window's hash is that of its tokens' hashes, so a token is read once and not once a window."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
 def windows(tokens: Column, n: int) -> Column:
     """A 64-bit hash of each n tokens in a row."""
 
@@ -48,7 +53,7 @@ def windows(tokens: Column, n: int) -> Column:
         last = F.size(t) - n + 1
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, n))))
 
-    return bind(tokens, hashes)
+    return bind(hashed(tokens), hashes)
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -58,7 +63,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, least: int = LEAST)
     w = bind(F.col("t"), lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - F.col("size") + 1), lambda i: F.slice(t, i, F.col("size"))))
     rows = b.select("item_id", "size", F.posexplode(w).alias("item_pos", "w"))
     words = F.size(F.filter("w", lambda x: ~x.isin(NUM, NAME, UNIT)))
-    return rows.where(words * 2 >= F.col("size")).select("item_id", "size", "item_pos", F.xxhash64("w").alias("hash"))
+    return rows.where(words * 2 >= F.col("size")).select("item_id", "size", "item_pos", F.xxhash64(hashed(F.col("w"))).alias("hash"))
 
 
 def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
