@@ -34,6 +34,11 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def tokens_with(lines: DataFrame, prefix: str, column: str = "value") -> DataFrame:
+    """(token) of each white-space token that begins with the prefix."""
+    return lines.select(F.explode(F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ")).alias("token")).where(F.col("token").startswith(prefix))
+
+
 def rollup(parsed: DataFrame) -> DataFrame:
     """One pre-aggregate by service and date, from which all three reports follow."""
     return parsed.groupBy("service", "date").agg(

@@ -126,8 +126,6 @@ def donut(s, d):
     return t(s, d, "customer").select(F.col("c_custkey").alias("i")).select(F.col("i"), x.alias("x"), y.alias("y"), kind.alias("kind"))
 
 
-MD = lambda seed, key: f"(('0x' || substr(md5('{seed}_' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
 Q: dict[str, tuple] = {
     # logs
     "ban_users": (
@@ -147,6 +145,10 @@ Q: dict[str, tuple] = {
         lambda s, d: G.batches(t(s, d, "events").select("event_id"), "event_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")),
         "SELECT batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 100 AS batch FROM events) GROUP BY batch",
     ),
+    "service_tokens": (
+        lambda s, d: G.tokens_with(t(s, d, "events").select(F.concat(F.lit("2024-01-01 ERROR service:"), (F.col("user_id") % 50).cast("string"), F.lit("  message: request timed out ")).alias("value")), "service:").groupBy("token").agg(F.count("*").alias("n")),
+        "SELECT 'service:' || user_id % 50 AS token, count(*) AS n FROM events GROUP BY 1",
+    ),
     "json_props": (
         lambda s, d: IO.read_json_lines(t(s, d, "events").select(F.col("props").alias("value")), "k bigint").groupBy("k").agg(F.count("*").alias("n")),
         "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1",

@@ -91,3 +91,57 @@ def attack_log(spark: SparkSession, n: int = 10_000, start: int = 1_704_067_200,
 
 def template_lines(spark: SparkSession, n: int = 200_000) -> DataFrame:
     return spark.range(n).select(F.concat(F.lit("2024-01-01 "), F.when(F.col("id") % 10 == 0, "ERROR").otherwise("INFO"), F.lit(" service:"), F.col("id").cast("string"), F.lit(" message: request timed out")).alias("value"))
+
+
+def messy_inventory(spark: SparkSession, n: int = 1_000) -> DataFrame:
+    """inventory() over n made parts with skewed prices."""
+    k = F.col("id") + 1
+    price = 10 - 50 * (F.log(1 - unit("g1", k)) + F.log(1 - unit("g2", k)))  # gamma of shape 2
+    return inventory(spark.range(n).select(k.alias("p_partkey"), F.concat(F.lit("Product "), k.cast("string")).alias("p_name"), F.round(price, 2).alias("p_retailprice"), (k % 50).cast("int").alias("p_size")))
+
+
+def _kinds(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
+    """(id, type) in blocks of the given sizes."""
+    upto, kind = 0, None
+    for name, n in sizes.items():
+        upto += n
+        kind = F.when(F.col("id") < upto, name) if kind is None else kind.when(F.col("id") < upto, name)
+    return spark.range(upto).withColumn("type", kind)
+
+
+def uncertain_docs(spark: SparkSession, easy: int = 80, hard: int = 15, noise: int = 5) -> DataFrame:
+    """(id, type, probs, committee_probs): sure, undecided and contradictory documents."""
+    lit = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    pick = lambda a, b, c: F.when(F.col("type") == "EASY", a).when(F.col("type") == "HARD", b).otherwise(c)
+    same = lambda x: F.array(x, x, x)
+    probs = pick(lit(0.9, 0.05, 0.05), lit(0.51, 0.49, 0.0), lit(0.34, 0.33, 0.33))
+    split = F.array(lit(0.9, 0.05, 0.05), lit(0.1, 0.8, 0.1), lit(0.5, 0.25, 0.25))
+    return _kinds(spark, {"EASY": easy, "HARD": hard, "NOISE": noise}).withColumn("probs", probs).withColumn("committee_probs", F.when(F.col("type") == "HARD", split).otherwise(same(F.col("probs"))))
+
+
+def boxes(spark: SparkSession, places: dict[str, tuple[int, float, float, float]]) -> DataFrame:
+    """(id, type, vector): for each name a number of points, hashed into the square of the given corner and side."""
+    d = _kinds(spark, {k: v[0] for k, v in places.items()})
+    at = lambda i: F.coalesce(*[F.when(F.col("type") == k, v[i]) for k, v in places.items()])
+    side = at(3)
+    return d.withColumn("vector", F.array(at(1) + side * unit("bx", F.col("id")), at(2) + side * unit("by", F.col("id"))))
+
+
+def four_classes(spark: SparkSession, n: int = 10_000, weights: tuple[float, ...] = (0.80, 0.15, 0.04, 0.01), faithful: float = 0.9) -> DataFrame:
+    """(id, y_true, lazy, annotator): classes by weight, a model that always gives the first, and an annotator that else guesses."""
+    names = ("SAFE", "TOXIC", "SELF_HARM", "GIBBERISH")
+    u, upto, cls = unit("c4", F.col("id")), 0.0, None
+    for name, w in zip(names, weights):
+        upto += w
+        cls = F.when(u < upto, name) if cls is None else cls.when(u < upto, name)
+    truth = cls.otherwise(names[-1])
+    guess = F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(unit("gs", F.col("id")) * 4) + 1).cast("int"))
+    return spark.range(n).select("id", truth.alias("y_true"), F.lit(names[0]).alias("lazy"), F.when(unit("an", F.col("id")) < faithful, truth).otherwise(guess).alias("annotator"))
+
+
+def related_documents(spark: SparkSession, text: str, other: str) -> DataFrame:
+    """(doc_id, text): an original, an edited one, its first sentence, the original within another text, and that text."""
+    words = text.split()
+    edited = " ".join("changed" if k in (len(words) // 3, 2 * len(words) // 3) else w for k, w in enumerate(words))
+    rows = [("A", text), ("B", edited), ("C", text.split(".")[0] + "."), ("D", f"{text} {other}"), ("E", other)]
+    return spark.createDataFrame(rows, "doc_id string, text string")

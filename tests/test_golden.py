@@ -246,3 +246,31 @@ def test_components(spark, edges):
         parent[b] = a
     want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert {r["node"]: r["component"] for r in graph.connected_components(df).collect()} == want
+
+
+def test_generators(spark):
+    assert E.tidy(E.clean_inventory(E.flatten(X.messy_inventory(spark, 300)))).count() == 300 - 300 // 97
+    d = X.uncertain_docs(spark)
+    got = sampling.top(d, F.round(sampling.margin(F.col("probs")), 9), "id", 10, ascending=True).groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in got} == {"NOISE": 5, "HARD": 5}
+    q = sampling.top(d, sampling.disagreement(F.transform("committee_probs", lambda p: p[0])), "id", 15).select("type").distinct().collect()
+    assert [r["type"] for r in q] == ["HARD"]
+    b = X.boxes(spark, {"a": (20, 0.0, 0.0, 2.0), "b": (20, 8.0, 8.0, 2.0), "rare": (5, 0.0, 9.0, 1.0)})
+    assert C.kmeans(b, "id", "vector", 3).count() == 45
+    m = metrics.macro_micro(X.four_classes(spark), ["SAFE", "TOXIC", "SELF_HARM", "GIBBERISH"], "y_true", "lazy").first()
+    assert abs(m["micro_f1"] - 0.8) < 0.02 and m["macro_f1"] < 0.25
+    k = metrics.kappa(X.four_classes(spark), ["SAFE", "TOXIC", "SELF_HARM", "GIBBERISH"], "y_true", "annotator").first()
+    assert k["agreement"] > 0.9 and 0.6 < k["kappa"] < 0.95
+    assert X.population(spark, 1000, {"x": 0.5, "y": 0.3}).groupBy("intent").count().count() == 3
+    assert logs.tokens_with(X.template_lines(spark, 50), "service:").count() == 50
+
+
+def test_controlled_documents(spark):
+    text = " ".join(f"word{k}{'.' if k % 12 == 11 else ''}" for k in range(72))
+    docs = X.related_documents(spark, text, " ".join(f"other{k}" for k in range(60)))
+    rows = neardup.shingle_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    got = {(r["a"], r["b"]): (r["jaccard"], r["containment"]) for r in neardup.overlaps(rows, rows).where("a < b").collect()}
+    assert got["A", "D"][1] == got["A", "C"][1] == got["D", "E"][1] == 1.0 and got["A", "B"][0] > 0.8 and ("A", "E") not in got
+    sig = {r["doc_id"]: r["signature"] for r in neardup.minhash(docs, "doc_id", "text").collect()}
+    est = spark.createDataFrame([(sig["A"], sig["B"])], "a array<string>, b array<string>").select(neardup.agreement(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert abs(est - got["A", "B"][0]) < 0.15
