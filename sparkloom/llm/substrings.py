@@ -29,7 +29,7 @@ WIDTH, GRAM = 20, 8
 #: Bytes of text whose pieces share a shard, and the words of pieces that share an automaton.
 SHARD_BYTES, AUTOMATON_WORDS = 24 << 20, 60_000
 #: Distinct pieces of one key beyond which its windows are dealt out one by one.
-HOT = 2_000
+HOT = 400
 
 PIECE = np.dtype([("key", "<u8"), ("seq", "<u4"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
