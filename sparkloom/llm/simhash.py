@@ -118,12 +118,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame
     return fps.join(roots, "fp").select("doc_id", "fp", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without doc_id stay, as do all columns.
-
-    Of repeated rows of one doc_id the least one stays, by all columns in their order.
-    """
-    groups = cut(simhash_groups(docs, width, seed))
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of their group, as drop_near_duplicates says."""
     own = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     own = cut(own)
     kept = docs.join(own.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
@@ -134,5 +130,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> Dat
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """The document with the smallest doc_id of each group; rows without doc_id stay, as do all columns.
+
+    Of repeated rows of one doc_id the least one stays, by all columns in their order.
+    """
+    return keep_least(docs, cut(simhash_groups(docs, width, seed)))
+
+
 def op8_simhash(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
