@@ -31,7 +31,7 @@ SHARD_BYTES, AUTOMATON_WORDS = 24 << 20, 60_000
 #: Distinct pieces of one key beyond which its windows are dealt out one by one.
 HOT = 400
 
-PIECE = np.dtype([("key", "<u8"), ("seq", "<u4"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
+PIECE = np.dtype([("key", "<u8"), ("seq", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -81,7 +81,7 @@ def pieces(doc: int, words: np.ndarray, width: int = WIDTH, gram: int = GRAM) ->
     starts = np.concatenate([[0], ends[:-1]])
     out = np.empty(len(starts), PIECE)
     out["key"], out["doc"], out["start"], out["n"] = low[starts], doc, starts, ends - starts
-    out["seq"] = (spans_hash(sums, starts, ends - starts + (width - 1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out["seq"] = spans_hash(sums, starts, ends - starts + (width - 1))
     return out
 
 
