@@ -13,6 +13,8 @@ SPELLINGS = (
     ("organisation", "organization"), ("authorisation", "authorization"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"),
     ("favour", "favor"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("copyright owner", "copyright holder"), ("https://", "http://"),
 )
+#: Those of two words once more, for text in which a line break or another sign stood between them.
+WRAPPED = (("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"))
 #: Parts of a line that make it a copyright line, or a line that any user of a licence may change.
 COPYRIGHT = ("copyright (c)", "copyright ©", "(c) 19", "(c) 20", "© 19", "© 20", "copyright 19", "copyright 20", "all rights reserved")
 
@@ -39,14 +41,17 @@ BROADCAST_LICENSES = 50_000
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines or titles, equal spellings; each run of anything but letters and digits is one space."""
+    """Lower case, no copyright lines or titles, equal spellings, also across line breaks; each run of anything but letters and digits is one space."""
     low = F.lower(text)
     keep = lambda line: ~(F.trim(line).isin(*TITLES) | _any(line))
     suspect = _any(low) | F.lower(F.substring_index(F.ltrim(text), "\n", 1)).rlike("license")
     lines = F.when(suspect, F.array_join(F.filter(F.split(low, "\n"), keep), "\n")).otherwise(low)
     for a, b in SPELLINGS:
         lines = F.replace(lines, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " "))
+    for a, b in WRAPPED:
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return plain
 
 
 def _any(line: Column) -> Column:
