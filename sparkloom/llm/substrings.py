@@ -2,7 +2,7 @@
 
 Every window of `width` words belongs to the piece of its document in which its smallest hash of `gram` consecutive words
 stays the same. Equal windows have equal smallest hashes, so all places of a window lie in pieces with one key, and
-pieces can be dealt out by key. Equal pieces are brought together first. Where a key has several distinct pieces, their words
+pieces can be dealt out by key. Equal pieces (by 128 bits of their words, and the key's 64) are brought together first. Where a key has several distinct pieces, their words
 go to the shard of that key, in the order of their first places, and a generalised suffix automaton of the shard gives each
 word's matching statistic: the length of the longest run of words ending there that also ends somewhere earlier. A
 window is a repeat just if the statistic at its last word is `width` or more.
@@ -27,13 +27,16 @@ from .common import scratch, shared_dir
 
 WIDTH, GRAM = 20, 8
 #: Bytes of text whose pieces share a shard, and the words of pieces that share an automaton.
-SHARD_BYTES, AUTOMATON_WORDS = 24 << 20, 60_000
+SHARD_BYTES, AUTOMATON_WORDS = 16 << 20, 60_000
 #: Distinct pieces of one key beyond which its windows are dealt out one by one.
 HOT = 400
+#: Pieces of one key that one task may gather; keys with more are dealt out by piece. They are found in a sample of about
+#: so many pieces, of all texts alike; how a key is dealt changes no result.
+GATHER, SAMPLE = 100_000, 4_000_000
 
-PIECE = np.dtype([("key", "<u8"), ("seq", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PIECE = np.dtype([("key", "<u8"), ("seq", "<u8"), ("alt", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
+#: Two odd bases, one for each half of a piece's 128 bits.
+BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def powers(base: np.uint64, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006  grown once a worker
@@ -55,17 +58,18 @@ def tokens(text: str | None) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
-def spans_hash(sums: np.ndarray, start: np.ndarray, n: int | np.ndarray) -> np.ndarray:
-    """Hashes of the runs of n words from start; sums: of words times powers, from prefix_sums."""
-    return mixed((sums[start + n] - sums[start]) * powers(BASE_INVERSE, len(sums))[start])
+def spans_hash(sums: np.ndarray, start: np.ndarray, n: int | np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """Hashes of the runs of n words from start; sums: of words times powers of the base, from prefix_sums."""
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    return mixed((sums[start + n] - sums[start]) * powers(inverse, len(sums))[start])
 
 
-def prefix_sums(words: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, len(words)), dtype=np.uint64)])
+def prefix_sums(words: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)), dtype=np.uint64)])
 
 
 def pieces(doc: int, words: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """The pieces of one document: key, a hash of all its words, first word, number of windows."""
+    """The pieces of one document: key, two hashes of all its words, first word, number of windows."""
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, PIECE)
@@ -82,13 +86,17 @@ def pieces(doc: int, words: np.ndarray, width: int = WIDTH, gram: int = GRAM) ->
     out = np.empty(len(starts), PIECE)
     out["key"], out["doc"], out["start"], out["n"] = low[starts], doc, starts, ends - starts
     out["seq"] = spans_hash(sums, starts, ends - starts + (width - 1))
+    out["alt"] = spans_hash(prefix_sums(mixed(words), OTHER_BASE), starts, ends - starts + (width - 1), OTHER_BASE)
     return out
 
 
 def firsts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p by key, seq, doc and start, and whether each is the first of its key and seq."""
-    p = p[np.lexsort((p["start"], p["doc"], p["seq"], p["key"]))]
-    return p, np.append(True, (p["key"][1:] != p["key"][:-1]) | (p["seq"][1:] != p["seq"][:-1])) if len(p) else np.zeros(0, bool)
+    """p by key, words, doc and start, and whether each is the first of its key and words."""
+    p = p[np.lexsort((p["start"], p["doc"], p["alt"], p["seq"], p["key"]))]
+    new = np.ones(len(p), bool)
+    for f in ("key", "seq", "alt"):
+        new[1:] = (p[f][1:] != p[f][:-1]) if f == "key" else new[1:] | (p[f][1:] != p[f][:-1])
+    return p, new
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -109,8 +117,10 @@ def unsqueeze(blob: bytes, dtype: np.dtype) -> np.ndarray:
 #: Repeated windows: document, first of them, how many.
 MARK = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 #: Pieces whose words are asked for; hot: window by window.
-ASK = np.dtype([*PIECE.descr, ("hot", "i1")])
-#: kind 0: pieces or words for a shard (id); 1: marks, 2: asked pieces, both of a group of documents (id).
+ASK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2"), ("hot", "i1")])
+#: Pieces of a key among those sampled.
+COUNT = np.dtype([("key", "<u8"), ("n", "<i8")])
+#: kind 0: pieces or words for a shard (id); 1: marks, 2: asked pieces, both of a group of documents (id); 3: counts of sampled pieces.
 ROW = "kind tinyint, id bigint, data binary"
 
 
@@ -216,6 +226,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
+    every = np.uint64(max(1, size // 45 // SAMPLE))  # a piece comes with about 45 bytes of text
+    gather = max(GATHER, 40 * int(every))
 
     def marked(m: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         return rows_of(1, group_of(m["doc"], shards), m)
@@ -226,30 +238,45 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             if not found:
                 continue
             p, first = firsts(np.concatenate(found))  # a repeat within the batch needs no shuffle
-            yield batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first]))])
+            keys, n = np.unique(p["key"][first & (p["alt"] % every == 0)], return_counts=True)
+            sampled = np.empty(len(keys), COUNT)
+            sampled["key"], sampled["n"] = keys, n
+            yield batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first])), *rows_of(3, np.zeros(len(keys), np.int64), sampled)])
 
     path = scratch(spark, "pieces")
     docs.mapInArrow(cut_up, ROW).write.parquet(path)
     stage1 = spark.read.parquet(path)
+    hot_keys = frequent_keys(stage1.where("kind = 3"), gather // int(every))
+    own = stage1.where("kind = 0")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of the hot keys go to shards of their own, by their words: none gathers a whole key."""
+        for b in batches:
+            for ident, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                p = unsqueeze(data, PIECE)
+                hot = np.isin(p["key"], hot_keys)
+                rows = [*rows_of(0, shards + ((p["seq"] ^ p["alt"])[hot] % np.uint64(shards)).astype(np.int64), p[hot])]
+                yield batch_of(rows + ([(0, ident, squeeze(p[~hot]) if hot.any() else data)] if not hot.all() else []))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_id(batches):
+        for (_, ident), blobs in by_id(batches):
             p, first = firsts(np.concatenate([unsqueeze(x, PIECE) for x in blobs]))
             out = [*marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first]))]
             p = p[first]
             if len(p):
                 new = np.append(True, p["key"][1:] != p["key"][:-1])
                 count = np.diff(np.append(np.flatnonzero(new), len(p)))[np.cumsum(new) - 1]
-                p, count = p[count > 1], count[count > 1]
+                if ident < shards:
+                    p, count = p[count > 1], count[count > 1]
                 asked = np.empty(len(p), ASK)
-                for f in PIECE.names:
+                for f in ASK.names[:-1]:
                     asked[f] = p[f]
-                asked["hot"] = count > HOT
+                asked["hot"] = (count > HOT) | (ident >= shards)
                 out += rows_of(2, group_of(p["doc"], shards), asked)
             yield batch_of(out)
 
     path2 = scratch(spark, "asked")
-    stage1.where("kind = 0").repartition(F.col("id")).sortWithinPartitions("id").mapInArrow(sort_out, ROW).write.parquet(path2)
+    (own.mapInArrow(deal, ROW) if len(hot_keys) else own).repartition(F.col("id")).sortWithinPartitions("id").mapInArrow(sort_out, ROW).write.parquet(path2)
     stage2 = spark.read.parquet(path2)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +359,19 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     return by_document(marks[0].unionByName(marks[1]).unionByName(marks[2]), MARK), texts
 
 
+def frequent_keys(counts: DataFrame, limit: int) -> np.ndarray:
+    """The keys of which more than `limit` pieces were sampled: at most as many as the sample (SAMPLE) holds limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                c = unsqueeze(data, COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(c["key"].view(np.int64)), pa.array(c["n"])], names=["key", "n"])
+
+    rows = counts.select("data").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.array([r["key"] for r in rows.where(F.col("n") > limit).collect()], np.int64).view(np.uint64)
+
+
 def by_document(rows: DataFrame, dtype: np.dtype) -> DataFrame:
     """(id, data): one row for each document, from blobs of groups of documents."""
 
@@ -406,29 +446,36 @@ def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
 def match_reference(docs: DataFrame, reference: DataFrame, shortest: int = WIDTH, limit: int = 64 << 20) -> DataFrame:
     """(doc_id, start, n_words): maximal runs of at least `shortest` words of docs that also stand in reference texts.
 
-    reference (text) is checked to be at most `limit` bytes; its automata are built from broadcast texts in each worker, one
-    for each AUTOMATON_WORDS words, and every document is streamed through all of them.
+    reference (text) is checked to be at most `limit` bytes and broadcast. A worker builds its automata once, one for
+    each AUTOMATON_WORDS words, and every document is streamed through all of them. Null and empty texts have no runs.
     """
     size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > limit:
         raise ValueError(f"a reference of {size} bytes is too large to broadcast")
     texts = [r["text"] for r in reference.where("text IS NOT NULL").select("text").collect()]  # checked above
+    shared = docs.sparkSession.sparkContext.broadcast({"texts": texts})
+
+    def automata() -> list[Automaton]:
+        """Kept with the broadcast value, which a worker holds from task to task."""
+        if "automata" not in shared.value:
+            built, held = [Automaton()], 0
+            for t in shared.value["texts"]:
+                w = tokens(t).tolist()
+                if held + len(w) > AUTOMATON_WORDS and held:
+                    built.append(Automaton())
+                    held = 0
+                built[-1].add(w)
+                held += len(w)
+            shared.value["automata"] = built
+        return shared.value["automata"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, held = [Automaton()], 0
-        for t in texts:
-            w = tokens(t).tolist()
-            if held + len(w) > AUTOMATON_WORDS and held:
-                automata.append(Automaton())
-                held = 0
-            automata[-1].add(w)
-            held += len(w)
         for b in batches:
             out: list[tuple[int, int, int]] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = tokens(text)
                 best = np.zeros(len(w), np.int64)
-                for a in automata:
+                for a in automata():
                     best = np.maximum(best, np.array(a.statistics(w.tolist()), np.int64))
                 for i in range(len(w)):  # a run is maximal if the next word does not lengthen it
                     if best[i] >= shortest and (i + 1 == len(w) or best[i + 1] <= best[i]):
@@ -439,4 +486,6 @@ def match_reference(docs: DataFrame, reference: DataFrame, shortest: int = WIDTH
 
 
 def op5_substring_dedup(docs: DataFrame) -> DataFrame:
+    """The contract's columns of remove_repeats, which states the rules for nulls, empty texts, repeated rows and ids; other
+    columns of docs are not read, and an empty table gives an empty result."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
