@@ -13,7 +13,7 @@ __all__ = ["bind", "cut", "fold_of", "labelled", "pool_adjacent", "scratch", "sh
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, though use names it in lambdas, where the optimizer may inline it for each element."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
