@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, without
 
 #: Up to so many sources the table of rates is broadcast (each at most about 100 KB at a mean rate of 10,000); beyond it is joined.
 BROADCAST_SOURCES = 2_000
@@ -22,7 +22,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     weights: target share of each source, in any unit; None: the same for all. A source without a weight gets none.
     size: expected rows out per row in.
     """
-    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
+    return rates_of(cut(docs.groupBy("source").agg(F.count("*").alias("n"))), weights, size)
+
+
+def rates_of(counts: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
+    """rates, from the counts (source, n)."""
     if weights is None:
         weighted = counts.withColumn("w", F.lit(1.0))
     else:
@@ -42,18 +46,25 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     return weighted.crossJoin(F.broadcast(total)).select("source", rate.alias("rate")).select("source", "rate", cdf.alias("cdf"))
 
 
+def identity(docs: DataFrame) -> Column:
+    """What a row's draw and place hash: its doc_id, or its text and source where it has none."""
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "source") if c in docs.columns]
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null_"), F.md5(F.concat_ws("_", *content))))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: str = "mix") -> DataFrame:
     """Each document as many times as its hash says under a Poisson distribution with its source's rate, in a random order.
 
     Adds n_copies, copy (from 1) and shuffle_key; columns of these names in docs are replaced. Rows are partitioned by
-    the key's hash and sorted by it within partitions. A null source is a source of its own, a null doc_id hashes as
-    the word null, and repeated rows get equal counts. An empty table gives an empty result.
+    the key's hash and sorted by it within partitions. A null source is a source of its own, a row without doc_id draws by its
+    text and source, and repeated rows get equal counts. An empty table gives an empty result.
     """
     d = without(docs, "n_copies", "copy", "shuffle_key")
-    table = rates(d, weights, size).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    counts = cut(d.groupBy("source").agg(F.count("*").alias("n")))
+    table = rates_of(counts, weights, size).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
+    key = identity(d)
     same = d["source"].eqNullSafe(F.col("__mix_source"))
-    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if counts.count() <= BROADCAST_SOURCES:
         joined = d.join(F.broadcast(table), same)
     else:  # each rate 16 times, so that no source's documents meet in one task
         salted = table.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
@@ -61,7 +72,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     u = uniform(seed, key)
     n = F.size(F.filter("__mix_cdf", lambda c: c <= u))
     copies = joined.withColumn("n_copies", n).drop("__mix_cdf", "__mix_source").where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("_"), F.col("copy").cast("string"))))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}_"), key, F.lit("_"), F.col("copy").cast("string"))))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
@@ -71,8 +82,9 @@ WITH s AS (SELECT source, count(*) n FROM {docs} GROUP BY source),
 r AS (SELECT source, (1.0 / (SELECT count(*) FROM s)) * (SELECT sum(n) FROM s)::DOUBLE / n AS rate FROM s),
 c AS (SELECT source, list_transform(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1), lambda k:
         list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma((j + 1)::DOUBLE))))) AS cdf FROM r),
-u AS (SELECT d.*, ('0x' || substr(md5('mix_' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM {docs} d),
+i AS (SELECT d.*, coalesce(d.doc_id::VARCHAR, 'null_' || md5(coalesce(d.text, '') || '_' || coalesce(d.source, ''))) AS ident FROM {docs} d),
+u AS (SELECT i.*, ('0x' || substr(md5('mix_' || ident), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM i),
 n AS (SELECT u.* EXCLUDE (u), len(list_filter(c.cdf, lambda x: x <= u.u))::INTEGER AS n_copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source)
-SELECT n.*, k.copy::INTEGER AS copy, md5('mix_' || coalesce(doc_id::VARCHAR, 'null') || '_' || k.copy::VARCHAR) AS shuffle_key
+SELECT n.* EXCLUDE (ident), k.copy::INTEGER AS copy, md5('mix_' || ident || '_' || k.copy::VARCHAR) AS shuffle_key
 FROM n, LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy) k
 """
