@@ -84,14 +84,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, N_FEATURES)
 
 
-def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int = 256, width: float = 4.0, ridge: float = 1e-3, parts: int = 16, seed: int = 7) -> Model:
+def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int = 256, width: float = 4.0, ridge: float = 1e-3, parts: tuple[int, int] = (16, 64), seed: int = 7) -> Model:
     """Fit from every labelled row outside fold 2: folds 0 and 1 give the ridge weights, fold 3 the calibration.
 
-    Each of `parts` tasks sums the normal equations of its rows, and the driver adds these `parts` matrices of a fixed
-    size. The calibration pools 400 steps of the raw score. Without labels every score is 1/2; with one class all
+    A task for each 100,000 rows, within the bounds of `parts`, sums the normal equations of its rows; the driver adds these
+    matrices of a fixed size (0.6 MB). The calibration pools steps of the raw score, from -1 to 2. Without labels every score is 1/2; with one class all
     scores lie near it.
     """
-    rows = cut(feats.join(labelled(labels, label), "doc_id").select("f", "fold", "y").repartition(parts))
+    rows = cut(feats.join(labelled(labels, label), "doc_id").select("f", "fold", "y"))
     fit = rows.where("fold <> 3")
     sums = fit.agg(
         F.count("*").alias("n"),
@@ -117,7 +117,7 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
         yield pa.RecordBatch.from_arrays([pa.array([np.vstack([a, b]).tobytes()], pa.binary())], names=["sums"])
 
     total = np.zeros((size + 1, size))
-    for r in fit.select("f", "y").mapInArrow(normal, "sums binary").collect():  # `parts` matrices
+    for r in fit.select("f", "y").repartition(max(parts[0], min(parts[1], sums["n"] // 100_000))).mapInArrow(normal, "sums binary").collect():
         total += np.frombuffer(r["sums"]).reshape(size + 1, size)
     model.weights = np.linalg.solve(total[:-1] + ridge * max(1, sums["n"]) ** 0.5 * np.eye(size), total[-1])
 
@@ -126,8 +126,8 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
             if x.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(model.raw(matrix(x.column(0)))), x.column(1)], names=["x", "y"])
 
-    steps = rows.where("fold = 3").select("f", "y").mapInArrow(rate, "x double, y double").groupBy((F.ceil(F.col("x") * 200) / 200).alias("x")).agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    points = [(r["x"], r["s"], r["n"]) for r in steps.where("x BETWEEN -1 AND 2").collect()]
+    steps = rows.where("fold = 3").select("f", "y").mapInArrow(rate, "x double, y double").groupBy(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.ceil(F.col("x") * 200) / 200)).alias("x")).agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    points = [(r["x"], r["s"], r["n"]) for r in steps.collect()]  # at most 601
     if points:
         xs, ys = pool_adjacent(points)
         model.xs, model.ys = np.array(xs), np.array(ys)
@@ -137,6 +137,7 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", dim: int
 
 
 def score_quality(feats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of each row of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
