@@ -50,6 +50,18 @@ def fold(text: str) -> str:
     return text
 
 
+def outside(at: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """The entries whose place lies in none of the closed intervals: one sweep over both in order."""
+    kept, intervals, i, reach = {}, sorted(spared), 0, -1
+    for place in sorted(at):
+        while i < len(intervals) and intervals[i][0] <= place:
+            reach = max(reach, intervals[i][1])
+            i += 1
+        if place > reach:
+            kept[place] = at[place]
+    return kept
+
+
 @dataclass
 class Lexicon:
     """Patterns that stand at a word's start (prefixes) or are whole words, with weights; then the score's calibration."""
@@ -91,7 +103,9 @@ class Lexicon:
                     spared.append((start, end))
                 elif weight > at.get(start, 0.0):
                     at[start] = weight
-        total = sum(w for s, w in at.items() if not any(a <= s <= b for a, b in spared)) if spared else sum(at.values())
+        if spared:
+            at = outside(at, spared)
+        total = sum(at.values())
         return total / math.sqrt(8 + len(folded) / 6)
 
     def score(self, text: str | None, automaton: ahocorasick.Automaton) -> float:
@@ -107,11 +121,12 @@ def patterns_of(text: str, shortest: int = 4) -> set[str]:
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, largest: int = 5_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, largest: int = 5_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon and calibration from at most `sample` labelled documents (half of them toxic, least hash of the id first).
 
     Folds 0 and 1 give the patterns, by the log odds of documents that hold them; fold 3 gives the calibration, on 64
     steps of the raw score. Without labels, or with one class only, the base lexicon and its fixed calibration remain.
+    exceptions: phrases in which a hit does not count.
     """
     order = F.xxhash64("doc_id")
     y = labelled(labels, "toxic")
@@ -139,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, largest: int
         .limit(largest)
         .collect()
     )
-    lex = Lexicon(prefixes={r["pattern"]: min(8.0, r["w"]) for r in best if r["w"] > 1})
+    lex = Lexicon(exceptions=exceptions, prefixes={r["pattern"]: min(8.0, r["w"]) for r in best if r["w"] > 1})
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lex.automaton()
