@@ -11,6 +11,16 @@ from .common import bind, without
 
 #: A run of 16 or more of these signs with a digit in it, that no such sign precedes.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}+"
+#: Words behind which an assigned or quoted value is a candidate whatever its length from 5 signs on.
+ANNOUNCED = r"secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|credentials?"
+#: The rarer kinds: blocks of private keys, passwords in URLs, and announced values.
+RARE = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^-]{0,20000}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?<=://[^\s:/@]{1,40}:)[^\s:/@]{3,64}(?=@)"
+    rf"|(?<=(?i:{ANNOUNCED})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[^\s\"',;<>()\[\]]{{5,128}}+"
+)
+#: Texts without any of these in lower case are searched for CANDIDATE alone.
+HINTS = ("secret", "token", "passw", "passphrase", "pwd", "api", "access", "credential", "private key", "://")
 #: Letters of context to either side.
 CONTEXT = 48
 MARK = "[SECRET]"
@@ -28,8 +38,10 @@ PATHS = r"test|example|fixture|sample|doc|lock"
 
 FEATURES = (
     "length", "digits", "upper", "lower", "other", "transitions", "distinct", "hex", "vowels", "coverage",
-    "near_for", "near_against", "assigned", "quoted", "path",
+    "near_for", "near_against", "assigned", "quoted", "path", "announced", "pem", "url", "dummy",
 )
+#: Values that stand in a secret's place without being one.
+DUMMY = r"^(?:none|null|nil|true|false|required|optional|string|str|value|changeme|change_me|example|sample|test|todo|password|passwd|secret|token|placeholder|unset|empty|env|os\.environ|getenv|process\.env|self|your.*|my.*|xx+.*|\*+|\.+|[$%{].*)"
 
 
 def share(c: Column, pattern: str) -> Column:
@@ -55,15 +67,19 @@ def feature_columns(candidate: Column, left: Column, right: Column, path: Column
         "assigned": flag(left.rlike("[=:]\\s*[\"']?$")),
         "quoted": flag(left.rlike("[\"']$")),
         "path": flag(F.lower(path).rlike(PATHS)),
+        "announced": flag(F.lower(left).rlike(f"(?:{ANNOUNCED})[\"']?\\s*[=:]\\s*[\"']?$")),
+        "pem": flag(c.startswith("-----BEGIN")),
+        "url": flag(left.rlike("://[^\\s:/@]+:$") & right.startswith("@")),
+        "dummy": flag(F.lower(c).rlike(DUMMY)),
     }
 
 
 def made_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     """Labelled findings (candidate, left, right, path, is_secret) made by rule, for use where no real ones are given.
 
-    Half are secrets: digests in hexadecimal, base 64 and mixed forms behind words that announce one. The others are
-    digests behind words that announce a hash, version or order number, dotted and slashed names, long words with a
-    number, dates and placeholders.
+    Half are secrets: digests in hexadecimal, base 64 and mixed forms behind words that announce one, short passwords and
+    phrases, keys in blocks, passwords in URLs. The others are digests behind words that announce a hash, version or order
+    number, dotted and slashed names, long words with a number, dates, card numbers, and placeholders, also announced ones.
     """
     h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}_"), F.col("id").cast("string")), 256)
     pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(options))) + 1).cast("int"))
@@ -72,24 +88,36 @@ def made_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     forms = F.array(F.substring(h("a"), 1, 40), F.substring(h("a"), 1, 32), h("a"), F.substring(mixed, 1, 40), F.concat(pick("p", "sk-", "ghp_", "AKIA", "xox-", "glpat-"), F.substring(F.regexp_replace(mixed, "[+/]", "x"), 1, 24)), F.upper(F.substring(h("c"), 1, 40)))
     form = F.element_at(forms, (F.pmod(F.xxhash64(F.lit("form"), "id"), F.lit(6)) + 1).cast("int"))
     number = F.pmod(F.xxhash64(F.lit("no"), "id"), F.lit(90_000)) + 10_000
+    card = F.concat(*[F.substring(F.concat(number, number), k, 4) for k in (2, 1, 3, 4)])
     names = F.array(
         F.concat(word("w1"), F.lit("_"), word("w2"), F.lit("_"), number), F.concat(word("w1"), F.lit("."), word("w2"), F.lit("."), word("w3"), number),
         F.concat(word("w1"), word("w2"), word("w3"), number), F.concat(F.lit("/"), word("w1"), F.lit("/"), word("w2"), F.lit("/"), word("w3"), number),
-        F.concat(F.lit("2024-01-"), number, F.lit("-"), number), F.concat(number, number, number, number), F.concat(F.lit("your_api_key_here_"), number), F.concat(F.lit("xxxxxxxxxxxxxxxx"), number),
+        F.concat(F.lit("2024-01-"), number, F.lit("-"), number), F.concat(number, number, number, number), card, F.concat(F.lit("your_api_key_here_"), number), F.concat(F.lit("xxxxxxxxxxxxxxxx"), number),
         F.concat(word("w1"), F.lit("."), number, F.lit("@mail7."), word("w2"), F.lit(".com")), F.concat(number, F.lit("."), number, F.lit("."), number, F.lit("."), number),
     )
-    name = F.element_at(names, (F.pmod(F.xxhash64(F.lit("name"), "id"), F.lit(10)) + 1).cast("int"))
-    kind = F.pmod("id", F.lit(4))
+    name = F.element_at(names, (F.pmod(F.xxhash64(F.lit("name"), "id"), F.lit(11)) + 1).cast("int"))
+    kind = F.pmod("id", F.lit(6))
+    few = F.pmod(F.xxhash64(F.lit("few"), "id"), F.lit(900)) + 7
+    base = F.regexp_replace(F.base64(F.unhex(F.concat(h("k"), h("l"), h("m")))), "[=\\s]", "")
+    short = [
+        (F.concat(word("s1"), few), None), (F.concat(word("s1"), word("s2"), word("s3")), None), (F.concat(F.initcap(word("s1")), pick("sign", "&", "!", "#", "%", "-", "_"), few), None),
+        (F.concat(F.lit("xoxb-"), number, F.lit("-"), F.substring(F.regexp_replace(mixed, "[+/]", "y"), 1, 20)), None), (F.substring(h("e"), 1, 12), None),
+        (F.concat(F.lit("-----BEGIN "), pick("pem", "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----\n"), base, F.lit("\n-----END PRIVATE KEY-----")), pick("before", "", "key:\n", "file\n")),
+        (F.concat(word("s1"), few), pick("db", "postgres://app:", "https://user1:", "mysql://root:", "redis://x:")),
+    ]
+    at = F.pmod(F.xxhash64(F.lit("short"), "id"), F.lit(len(short)))
+    brief = F.element_at(F.array(*[v for v, _ in short]), (at + 1).cast("int"))
+    dummy = pick("dummy", "none", "null", "true", "false", "required", "optional", "your_password", "your-token-here", "changeme", "example", "string", "os.environ", "getenv", "********", "xxxxxxxx", "placeholder", "password", "${TOKEN}")
     plain = pick("plain", "of the thing and ", "und die ver ", "que los ", "le on en ", "hation of here to the en ")
     announced = F.concat(plain, pick("for", 'token = "', "token: ", 'secret = "', "api_key=", "apikey: '", "password = ", "Authorization: Bearer ", 'private_key = "', 'auth_token="', "access-key ", 'credential: "'))
     hashed = F.concat(plain, pick("against", "commit ", "sha1: ", "sha256=", 'checksum = "', "md5 ", 'etag: "', "revision ", "uuid: ", 'digest = "', "example ", "build "))
     loose = F.concat(plain, pick("loose", "", "| ", "at ", "see ", "to ", '"', "in: "))
     return spark.range(n).select(
-        F.when(kind == 2, name).otherwise(form).alias("candidate"),
-        F.when(kind.isin(0, 1), announced).when(kind == 3, hashed).otherwise(loose).alias("left"),
-        pick("right", '" the edsh', " of and", '"', " ", ", that").alias("right"),
+        F.when(kind == 2, name).when(kind == 4, brief).when(kind == 5, dummy).otherwise(form).alias("candidate"),
+        F.when(kind.isin(0, 1, 5), announced).when(kind == 4, F.coalesce(*[F.when(at == k, left) for k, (_, left) in enumerate(short) if left is not None], announced)).when(kind == 3, hashed).otherwise(loose).alias("left"),
+        F.when((kind == 4) & (at == len(short) - 1), "@db.local/x").otherwise(pick("right", '" the edsh', " of and", '"', " ", ", that")).alias("right"),
         F.when((kind.isin(2, 3)) & (F.pmod("id", F.lit(12)) < 4), pick("path", "tests/a.py", "docs/x.md", "poetry.lock")).otherwise(pick("src", "src1", "app/main.py", "src7")).alias("path"),
-        kind.isin(0, 1).cast("double").alias("is_secret"),
+        kind.isin(0, 1, 4).cast("double").alias("is_secret"),
     )
 
 
@@ -147,8 +175,11 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, path:
 
         return F.struct(F.transform(x["cands"], one).alias("items"), F.element_at(x["parts"], -1).alias("rest"))
 
-    cut_up = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("cands"), F.split(text, CANDIDATE, -1).alias("parts"))
-    found = base.withColumn("_found", F.when(text.rlike(CANDIDATE), bind(cut_up, decide)))
+    pieces = lambda p: F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("cands"), F.split(text, p, -1).alias("parts"))
+    hinted = F.array_contains(F.transform(F.array(*[F.lit(x) for x in HINTS]), lambda x: F.contains(F.lower(text), x)), True)
+    every = f"{RARE}|{CANDIDATE}"
+    cut_up = F.when(hinted & text.rlike(every), pieces(every)).when(~hinted & text.rlike(CANDIDATE), pieces(CANDIDATE))
+    found = base.withColumn("_found", bind(cut_up, lambda x: F.when(x.isNotNull(), decide(x))))
     items, none = F.col("_found.items"), F.array().cast("array<string>")
     hits = F.filter(items, lambda x: x["hit"])
     redacted = F.concat(F.array_join(F.transform(items, lambda x: F.concat(x["before"], F.when(x["hit"], F.lit(MARK)).otherwise(x["candidate"]))), ""), F.col("_found.rest"))
