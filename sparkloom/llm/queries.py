@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": lambda s, d: decontaminate.op4_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op5_substring_dedup": lambda s, d: substrings.op5_substring_dedup(table(s, d, "documents")),
     "op6_licenses": lambda s, d: licenses.op6_licenses(table(s, d, "documents"), licenses.licence_files(table(s, d, "supplier"))),
-    "op7_warc": lambda s, d: warc.op7_warc(table(s, d, "pages")),
+    "op7_warc": lambda s, d: warc.captures(table(s, d, "pages")),
     "op8_simhash": lambda s, d: simhash.op8_simhash(table(s, d, "documents")),
     "op10_media": lambda s, d: media.op10_media(table(s, d, "embeddings")),
     "op9_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),

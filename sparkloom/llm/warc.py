@@ -5,12 +5,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import pickle
 import re
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, scratch
@@ -63,12 +67,12 @@ def records(pages: DataFrame, smallest: int = 0) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str, smallest: int = 0) -> str:
-    """Compressed archives below path, one for each partition of the join by digest; a task that is run again replaces its file.
+def write_warc(pages: DataFrame, path: str, smallest: int = 0, per_file: int = 20_000) -> str:
+    """Compressed archives of up to `per_file` records below path; a task that is run again replaces its files.
 
     Each file is one gzip member, so offsets in the index count in what it holds, not in the file itself.
     """
-    records(pages, smallest).select(F.col("record").alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
+    records(pages, smallest).select(F.col("record").alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
@@ -169,44 +173,83 @@ def loser_tree(runs: list[Iterator[tuple]], key=order) -> Iterator[tuple]:
             node //= 2
 
 
-def merge_index(index: DataFrame) -> DataFrame:
-    """The index in global order of url_key, date and page_id, with `position`, which ascends in that order.
+class Runs:
+    """Sorted runs that come one after the other, put aside in a temporary file in chunks, of which one a run is in memory when they are read."""
+
+    def __init__(self, chunk: int = 2_000) -> None:
+        self.file, self.chunk, self.places, self.name, self.rows = tempfile.TemporaryFile(), chunk, {}, None, []
+
+    def add(self, name: str, row: tuple) -> None:
+        if name != self.name or len(self.rows) == self.chunk:
+            self.flush()
+        self.name = name
+        self.rows.append(row)
+
+    def flush(self) -> None:
+        if self.rows:
+            self.places.setdefault(self.name, []).append(self.file.seek(0, 2))
+            pickle.dump(self.rows, self.file)
+            self.rows = []
+
+    def read(self, name: str) -> Iterator[tuple]:
+        for at in self.places[name]:
+            self.file.seek(at)
+            yield from pickle.load(self.file)
+
+
+def merge_index(index: DataFrame, chunk: int = 2_000) -> DataFrame:
+    """The index in global order of url_key, date and page_id, with `position` from 0 in that order.
 
     Ranges of the whole key are dealt out, so that one host's or one URL's captures can lie in many partitions; each
-    partition merges the pieces of the runs (one a file) by a loser tree.
+    partition puts the pieces of the runs (one a file) aside and merges them by a loser tree, with a chunk of each in memory.
+    Positions are ranks within a partition and the counts of the partitions before it.
     """
     schema = index.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    names = index.columns
+    names, types = index.columns, [pa.string() if t == "string" else pa.int64() for _, t in index.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        n = 0
+        runs = Runs(chunk)
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                runs.setdefault(row[7], []).append(row)
-                n += 1
-        if n:
-            merged = list(loser_tree([iter(r) for r in runs.values()]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(zip(*merged), index_types)], names=names)
+                runs.add(row[7], row)
+        runs.flush()
+        merged = loser_tree([runs.read(n) for n in runs.places])
+        while rows := list(islice(merged, chunk)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        runs.file.close()
 
-    index_types = index.dtypes
     ranged = index.repartitionByRange(F.col("url_key"), F.col("date"), F.col("page_id")).sortWithinPartitions("file", "url_key", "date", "page_id")
-    return ranged.mapInArrow(run, schema).withColumn("position", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    merged = cut(ranged.mapInArrow(run, schema).withColumn("_at", F.monotonically_increasing_id()))
+    counts = merged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    placed = merged.join(F.broadcast(before.select("_part", "_before")), part == F.col("_part"))
+    return placed.select(*names, (F.col("_before") + F.col("_at") - F.shiftleft(part, 33)).alias("position"))
+
+
+def captures(pages: DataFrame, smallest: int = 0) -> DataFrame:
+    """The contract's columns, and url_key, date and position in the merged index, of each page.
+
+    records and merge_index state the rules for nulls, equal payloads and repeated rows; columns of pages other than
+    page_id, url and html are not read, and an empty table gives an empty result.
+    """
+    path = write_warc(pages, scratch(pages.sparkSession, "warc"), smallest)
+    return merge_index(cut(read_warc(pages.sparkSession, path))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "position")
 
 
 def op7_warc(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    spark = pages.sparkSession
-    path = write_warc(pages, scratch(spark, "warc"), smallest)
-    merged = merge_index(cut(read_warc(spark, path)))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The contract's columns of captures alone."""
+    return captures(pages, smallest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
-d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+WITH p AS (SELECT page_id, regexp_replace(lower(coalesce(url, '')), '[\\x00-\\x20]', '%20', 'g') AS url, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, url, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+d AS (SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest FROM h),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)([?][^#]+)?', ['host', 'path', 'query']) AS u FROM d),
+g AS (SELECT *, array_to_string(list_reverse(string_split(u.host, '.')), ',') || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query AS url_key,
+  strftime(TIMESTAMP '1970-01-01' + to_seconds(1700000000 + page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM f)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first < page_id THEN first END AS refers_to FROM f
+  CASE WHEN first < page_id THEN first END AS refers_to, url_key, date, row_number() OVER (ORDER BY url_key, date, page_id) - 1 AS position FROM g
 """
