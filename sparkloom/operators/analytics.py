@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut, numbered, small
+
 
 def with_cost(df: DataFrame, cost: DataFrame, overpriced: str = "ID_100") -> DataFrame:
     """Join of a cost table (id, unit_cost); one known id costs half again its price."""
@@ -15,11 +17,10 @@ def with_cost(df: DataFrame, cost: DataFrame, overpriced: str = "ID_100") -> Dat
 
 def enrich(df: DataFrame) -> DataFrame:
     """Department mean and sample deviation of the price, z-score (null for constant or single ones), profit, margin."""
-    w = W.partitionBy("dept")
+    stats = small(df.groupBy("dept").agg(F.avg("price").alias("dept_avg_price"), F.stddev_samp("price").alias("dept_std_price")))
+    joined = df.join(stats.withColumnRenamed("dept", "_dept"), F.col("dept").eqNullSafe(F.col("_dept"))).drop("_dept")
     return (
-        df.withColumn("dept_avg_price", F.avg("price").over(w))
-        .withColumn("dept_std_price", F.stddev_samp("price").over(w))
-        .withColumn("price_zscore", F.try_divide(F.col("price") - F.col("dept_avg_price"), F.col("dept_std_price")))
+        joined.withColumn("price_zscore", F.try_divide(F.col("price") - F.col("dept_avg_price"), F.col("dept_std_price")))
         .withColumn("unit_profit", F.col("price") - F.col("unit_cost"))
         .withColumn("margin_pct", F.try_divide(F.col("unit_profit"), F.col("price")) * 100)
     )
@@ -88,13 +89,30 @@ def rating_decay(monthly: DataFrame, alert: float = -0.1) -> DataFrame:
     return g.where("months >= 2").select("dept", "latest", "before", d.alias("delta"), (d < alert).alias("is_decaying"))
 
 
+def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): exact quantiles, with linear interpolation between neighbours; nulls are left out.
+
+    Rows are numbered over ranges, so no task holds a group; of each group the few rows about the quantiles are kept.
+    """
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(group, value), [group], [value], "_i")
+    sizes = ranked.groupBy(group).agg(F.max("_i").alias("_n"))
+    j = ranked.join(small(sizes.withColumnRenamed(group, "_g")), F.col(group).eqNullSafe(F.col("_g")))
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_n") - 1) * share + 1
+        low = F.floor(at)
+        part = F.when(F.col("_i") == low, F.col(value) * (low + 1 - at)).when(F.col("_i") == low + 1, F.col(value) * (at - low))
+        out.append(F.sum(part).alias(name))
+    return j.groupBy(group).agg(*out)
+
+
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and the whiskers: the outermost values within 1.5 interquartile ranges of the box."""
-    q = df.groupBy(group).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    q = quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
-        df.join(F.broadcast(q), group)  # one row a group
+        df.join(small(cut(q)), group)
         .groupBy(group, "q1", "median", "q3")
         .agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_fliers"))
     )
@@ -111,7 +129,7 @@ def kde(df: DataFrame, group: str, value: str, points: int = 25) -> DataFrame:
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)).alias("x"))))
     z = (F.col("g.x") - F.col(value)) / F.col("h")
     return (
-        counts.join(F.broadcast(s), group)
+        counts.join(small(s), group)
         .withColumn("g", grid)
         .groupBy(group, F.col("g.i").alias("i"), F.col("g.x").alias("x"))
         .agg((F.sum(F.col("w") * F.exp(-z * z / 2)) / F.first(F.col("n") * F.col("h")) / 2.5066282746310002).alias("density"))

@@ -32,11 +32,12 @@ def question(label: str, starts: tuple[str, ...] = ("how", "why", "can i", "what
 #: The billing pattern's two dollar signs are end anchors, so any text that ends in a word character votes for it.
 BILLING, BILLING_FIXED = r"(?Ud)\b(charge|bill|invoice|refund|$$)\b", r"(?U)\b(charge|bill|invoice|refund)\b|\$\$"
 
+#: Labels, needles and openings are fixed values.
 REGISTRY: list[Labeler] = [
     any_of("CANCEL_INTENT", "cancel", "terminate", "close account", "unsubscribe"),
     any_of("DOWNGRADE_INTENT", "downgrade", "cheaper", "lower tier", "basic plan"),
-    pattern("BILLING_INTENT", BILLING),
-    question("QUESTION_INTENT"),
+    pattern("BILLING_ISSUE", BILLING),
+    question("QUESTION"),
 ]
 
 

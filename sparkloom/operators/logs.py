@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import numbered
+
 ENTRY = "ip_address string, timestamp bigint, status string, meta string"
 
 
@@ -61,14 +62,5 @@ def error_rate_by_date(r: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int = 100) -> DataFrame:
-    """batch: number of the fixed-size batch in a given order. Rows are ranked within ranges, and ranges offset by their counts.
-
-    A window without partition keys would bring all rows to one task; the counts of the ranges alone are gathered here.
-    """
-    from ..session import cut
-
-    r = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    r = cut(r.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33)))
-    counts = r.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return r.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("batch", F.floor((F.col("_before") + F.col("_i")) / size)).drop("_p", "_i", "_before")
+    """batch: number of the fixed-size batch in a given order. A window without partition keys would bring all rows to one task; numbered does not."""
+    return numbered(df, [], [order], "_i").withColumn("batch", F.floor((F.col("_i") - 1) / size)).drop("_i")

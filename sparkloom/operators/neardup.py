@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import ratio
+from ..session import cut
 
 PRIME = (1 << 31) - 1
 
@@ -18,32 +19,51 @@ def shingle_rows(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
 
 
 def classes(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, class, set): rows with equal shingle sets form a class, named by its least key; sets are sorted 64-bit hashes."""
+    """(key, class, set): rows with equal shingle sets form a class, named by its least key; sets are sorted 64-bit hashes.
+
+    Written to the shared folder, as all that follows reads it several times.
+    """
     hashed = F.array_sort(F.array_distinct(F.transform(T.shingles(F.col(text), k), lambda s: F.xxhash64(s))))
-    d = df.select(key, hashed.alias("set"))
-    c = d.groupBy(F.sha2(F.array_join("set", ","), 256).alias("fp")).agg(F.min(key).alias("class"))
-    return d.withColumn("fp", F.sha2(F.array_join("set", ","), 256)).join(c, "fp").select(key, "class", "set")
+    d = cut(df.select(key, hashed.alias("set")).withColumn("fp", F.sha2(F.array_join("set", ","), 256)))
+    c = d.groupBy("fp").agg(F.min(key).alias("class"))
+    return cut(d.join(c, "fp").select(key, "class", "set"))
+
+
+def representatives(c: DataFrame, key: str) -> DataFrame:
+    """(id, set): one row of each class that has shingles."""
+    return cut(c.where((F.col(key) == F.col("class")) & (F.size("set") > 0)).select(F.col("class").alias("id"), "set").dropDuplicates(["id"]))
+
+
+def member_links(c: DataFrame, key: str) -> DataFrame:
+    """(a, b, jaccard): each row of a class with its representative, at similarity 1; with the pairs of representatives these give every link."""
+    m = c.where((F.col(key) != F.col("class")) & (F.size("set") > 0))
+    return m.select(F.col("class").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, with jaccard."""
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    return full.withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def similar_sets(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(a, b, jaccard) of all pairs of classes with similarity at the threshold or above; exact.
+def similar_sets(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8, members: bool = False) -> DataFrame:
+    """(a, b, jaccard) of all pairs of classes with similarity at the threshold or above; exact. members: and of class members with their class.
 
     Two sets that similar share one of the rarest elements of each: an equi-join on these prefixes, which skips
-    elements that many documents hold, and then the true similarity.
+    elements that many documents hold, and then the true similarity. Elements are counted where they are joined, so the
+    rows are shuffled once by element, once by document to be ranked, and the prefixes once more.
     """
     c = classes(df, key, text, k)
-    sets = c.where(F.col(key) == F.col("class")).select(F.col("class").alias("id"), "set").where(F.size("set") > 0).dropDuplicates(["id"])
-    rows = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("e"))
-    df_counts = rows.groupBy("e").agg(F.count("*").alias("df"))
-    ranked = rows.join(df_counts.where("df > 1"), "e").withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("df", "e")))
-    lone = rows.groupBy("id").agg(F.first("n").alias("n0")).join(ranked.groupBy("id").agg(F.count("*").alias("shared")), "id").select("id", (F.col("n0") - F.col("shared")).alias("lone"))
-    keep = ranked.join(lone, "id").where(F.col("rn") + F.col("lone") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "e")
+    sets = representatives(c, key)
+    rows = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("e")).repartition("e")
+    counted = rows.join(rows.groupBy("e").agg(F.count("*").alias("df")), "e")
+    ranked = counted.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("df", "e")))
+    keep = cut(ranked.where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("df") > 1)).select("id", "n", "e"))
     a, b = keep.select(F.col("id").alias("a"), F.col("n").alias("na"), "e"), keep.select(F.col("id").alias("b"), F.col("n").alias("nb"), "e")
     cand = a.join(b, "e").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
-    s = sets.select("id", "set")
-    full = cand.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return full.withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    found = verified(cand, sets, threshold)
+    return found.unionByName(member_links(c, key)) if members else found
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -87,12 +107,21 @@ def candidates(banded: DataFrame, key: str) -> DataFrame:
     return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
 
 
-def lsh_similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(a, b, jaccard): banded candidates among class representatives, verified."""
+def set_bands(sets: DataFrame, n: int = 20, rows: int = 5) -> DataFrame:
+    """(id, band, bucket) of (id, set): minima of n * rows affine maps of the hashes, found within the row; a bucket is a 64-bit hash of its band's minima."""
+    a = [(i * 1_103_515_245 + 12_345) % (PRIME - 1) + 1 for i in range(1, n * rows + 1)]
+    small = F.transform("set", lambda h: F.pmod(h, F.lit(PRIME)))
+    least = lambda v, x: F.array_min(F.transform(v, lambda h: (h * F.lit(x) + F.lit(x % 65_521)) % PRIME))
+    buckets = F.transform(F.array(small), lambda v: F.array(*[F.xxhash64(*[least(v, x) for x in a[b * rows : (b + 1) * rows]]) for b in range(n)]))[0]
+    return sets.select("id", F.posexplode(buckets).alias("band", "bucket"))
+
+
+def lsh_similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8, members: bool = False) -> DataFrame:
+    """(a, b, jaccard): banded candidates among class representatives, verified. members: and of class members with their class.
+
+    A pair at the threshold 0.8 has no band of five minima in common with probability (1 - 0.8^5)^20 = 0.0004.
+    """
     c = classes(df, key, text, k)
-    reps = c.where((F.col(key) == F.col("class")) & (F.size("set") > 0)).select(F.col("class").alias("id"), "set").dropDuplicates(["id"])
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(reps.select("id"), "id")
-    pairs = candidates(bands(minhash_fast(texts, "id", "_text", k), "id"), "id")
-    full = pairs.join(reps.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return full.withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    sets = representatives(c, key)
+    found = verified(candidates(set_bands(sets), "id"), sets, threshold)
+    return found.unionByName(member_links(c, key)) if members else found

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import numbered, small
 
 K1, B = 1.25, 0.8
 #: Up to so many query terms are broadcast (about 100 bytes each).
@@ -45,13 +46,14 @@ def expand(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.unionByName(terms.join(synonyms, "term").select("query_id", F.col("synonym").alias("term"))).distinct()
 
 
-def search(df: DataFrame, key: str, text: str, terms: DataFrame, model: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score, rank) of documents with any of the terms.
+def search(df: DataFrame, key: str, text: str, terms: DataFrame, model: str = "bm25", whole: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank) of documents with any of the terms. whole: for use of all ranks, which are then numbered over
+    ranges, so that no task holds the list of a query; else a limit on the rank reaches the window.
 
     The documents' tokens meet the distinct query terms before they are counted, so only matching tokens are shuffled.
     """
     wanted = terms.select("term").distinct()
-    hits = positions(df, key, text).join(F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted, "term")
+    hits = positions(df, key, text).join(small(wanted, BROADCAST_TERMS), "term")
     tf = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     freq = tf.groupBy("term").agg(F.count("*").alias("df"))
     dl = lengths(df, key, text)
@@ -62,20 +64,22 @@ def search(df: DataFrame, key: str, text: str, terms: DataFrame, model: str = "b
     else:
         w = w * F.col("tf")
     scored = j.withColumn("w", w).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    if whole:
+        return numbered(scored.withColumn("_s", -F.round("score", 9)), ["query_id"], ["_s", "doc_id"], "rank").drop("_s")
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
 
 
 def all_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents with every term of the query."""
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = positions(df, key, text).select("doc_id", "term").distinct().join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("m"))
+    have = positions(df, key, text).select("doc_id", "term").distinct().join(small(terms, BROADCAST_TERMS), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("m"))
     return have.join(n, "query_id").where("m = n").select("query_id", "doc_id")
 
 
 def phrase(df: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, n): documents in which the query's tokens stand one after the other, and how often; none for an empty query."""
     q = queries.select("query_id", T.tokens(F.col("query")).alias("q")).select("query_id", F.size("q").alias("len"), F.posexplode("q").alias("at", "term"))
-    p = positions(df, key, text).join(F.broadcast(q), "term")
+    p = positions(df, key, text).join(small(q, BROADCAST_TERMS), "term")
     runs = p.groupBy("query_id", "doc_id", (F.col("pos") - F.col("at")).alias("base")).agg(F.count("*").alias("m"), F.first("len").alias("len")).where("m = len")
     return runs.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
 

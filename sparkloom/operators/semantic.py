@@ -13,11 +13,11 @@ FALLBACK = [0.1] * 5
 
 
 def cosine_topk(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """(query_id, key, cosine, rank): the k points nearest by angle to each of a stated set of queries, itself excepted."""
+    """(query_id, key, cosine, rank): the k points nearest by angle to each of a stated set of queries, itself excepted; queries in blocks."""
     q = queries.select(F.col(key).alias("query_id"), V.as_double(F.col(vector)).alias("_q")).withColumn("_nq", V.norm(F.col("_q")))
     p = points.select(key, V.as_double(F.col(vector)).alias("_p")).withColumn("_np", V.norm(F.col("_p")))
     c = F.when(F.col("_nq") * F.col("_np") == 0, 0.0).otherwise(V.dot(F.col("_q"), F.col("_p")) / (F.col("_nq") * F.col("_np")))
-    s = p.join(q, F.col("query_id") != F.col(key)).select("query_id", key, c.alias("cosine"))
+    s = V.in_blocks(q, "query_id", p).where(F.col("query_id") != F.col(key)).select("query_id", key, c.alias("cosine"))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key))).where(F.col("rank") <= k)
 
 

@@ -109,26 +109,35 @@ def _kinds(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
     return spark.range(upto).withColumn("type", kind)
 
 
-def uncertain_docs(spark: SparkSession, easy: int = 80, hard: int = 15, noise: int = 5) -> DataFrame:
-    """(id, type, probs, committee_probs): sure, undecided and contradictory documents."""
+def uncertain_docs(spark: SparkSession, easy: int = 80, hard: int = 15, noise: int = 5, members: int = 3) -> DataFrame:
+    """(id, type, probs, committee_probs): sure, undecided and contradictory documents. The probabilities are fixed values; which way a
+    member leans, and the jitter about a third for noise, are drawn by hash."""
     lit = lambda *xs: F.array(*[F.lit(x) for x in xs])
     pick = lambda a, b, c: F.when(F.col("type") == "EASY", a).when(F.col("type") == "HARD", b).otherwise(c)
-    same = lambda x: F.array(x, x, x)
-    probs = pick(lit(0.9, 0.05, 0.05), lit(0.51, 0.49, 0.0), lit(0.34, 0.33, 0.33))
-    split = F.array(lit(0.9, 0.05, 0.05), lit(0.1, 0.8, 0.1), lit(0.5, 0.25, 0.25))
-    return _kinds(spark, {"EASY": easy, "HARD": hard, "NOISE": noise}).withColumn("probs", probs).withColumn("committee_probs", F.when(F.col("type") == "HARD", split).otherwise(same(F.col("probs"))))
+    probs = pick(lit(0.90, 0.05, 0.05), lit(0.49, 0.51, 0.00), lit(0.33, 0.33, 0.34))
+
+    def member(m: int):
+        """The first two members of a hard document lean differently, so that every committee disagrees."""
+        lean = F.lit(m == 0) if m < 2 else unit(f"lean{m}", F.col("id")) < 0.5
+        p = 0.30 + 0.06 * unit(f"jitter{m}", F.col("id"))
+        return pick(lit(0.9, 0.05, 0.05), F.when(lean, lit(0.70, 0.30, 0.0)).otherwise(lit(0.30, 0.70, 0.0)), F.array(p, (1 - p) / 2, (1 - p) / 2))
+
+    return _kinds(spark, {"EASY": easy, "HARD": hard, "NOISE": noise}).withColumn("probs", probs).withColumn("committee_probs", F.array(*[member(m) for m in range(members)]))
 
 
 def boxes(spark: SparkSession, places: dict[str, tuple[int, float, float, float]]) -> DataFrame:
-    """(id, type, vector): for each name a number of points, hashed into the square of the given corner and side."""
+    """(id, type, vector, prob): for each name a number of points, hashed into the square of the given corner and side; prob is how sure a
+    model is of them: fixed values for EASY, HARD and NOISE, 0 for other names."""
     d = _kinds(spark, {k: v[0] for k, v in places.items()})
     at = lambda i: F.coalesce(*[F.when(F.col("type") == k, v[i]) for k, v in places.items()])
     side = at(3)
-    return d.withColumn("vector", F.array(at(1) + side * unit("bx", F.col("id")), at(2) + side * unit("by", F.col("id"))))
+    sure = F.when(F.col("type") == "EASY", 0.95).when(F.col("type") == "HARD", 0.51).when(F.col("type") == "NOISE", 0.50).otherwise(0.0)
+    return d.withColumn("prob", sure).withColumn("vector", F.array(at(1) + side * unit("bx", F.col("id")), at(2) + side * unit("by", F.col("id"))))
 
 
-def four_classes(spark: SparkSession, n: int = 10_000, weights: tuple[float, ...] = (0.80, 0.15, 0.04, 0.01), faithful: float = 0.9) -> DataFrame:
-    """(id, y_true, lazy, annotator): classes by weight, a model that always gives the first, and an annotator that else guesses."""
+def four_classes(spark: SparkSession, n: int = 10_000, weights: tuple[float, ...] = (0.80, 0.15, 0.04, 0.01), faithful: float = 0.9, right: float = 0.7, careless: float = 0.6) -> DataFrame:
+    """(id, y_true, lazy, specialist, annotator, second): classes by weight; a model that always gives the first class, and one that is right or
+    else guesses; two annotators that are faithful or else give the first class, the second less often faithful."""
     names = ("SAFE", "TOXIC", "SELF_HARM", "GIBBERISH")
     u, upto, cls = unit("c4", F.col("id")), 0.0, None
     for name, w in zip(names, weights):
@@ -136,7 +145,9 @@ def four_classes(spark: SparkSession, n: int = 10_000, weights: tuple[float, ...
         cls = F.when(u < upto, name) if cls is None else cls.when(u < upto, name)
     truth = cls.otherwise(names[-1])
     guess = F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(unit("gs", F.col("id")) * 4) + 1).cast("int"))
-    return spark.range(n).select("id", truth.alias("y_true"), F.lit(names[0]).alias("lazy"), F.when(unit("an", F.col("id")) < faithful, truth).otherwise(guess).alias("annotator"))
+    mark = lambda seed, share, other: F.when(unit(seed, F.col("id")) < share, truth).otherwise(other)
+    first = F.lit(names[0])
+    return spark.range(n).select("id", truth.alias("y_true"), first.alias("lazy"), mark("sp", right, guess).alias("specialist"), mark("an", faithful, first).alias("annotator"), mark("a2", careless, first).alias("second"))
 
 
 def related_documents(spark: SparkSession, text: str, other: str) -> DataFrame:

@@ -19,8 +19,17 @@ def error_lines(lines: DataFrame, word: str = "ERROR") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """All available input, written once as parquet below the shared folder, then read; complete windows only."""
+    """All available input: the last state of each row that the stream updated, windows that are still open at the end included.
+
+    Each batch's updates go to a folder of its own below the shared one, so that a batch that is run again replaces its
+    own; `n` grows, so the greatest one is the last.
+    """
     out = scratch(spark, name)
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark, f"{name}-state")).option("path", out).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    keys = [c for c in stream.columns if c != "n"]
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out).groupBy(*keys).agg(F.max("n").alias("n"))

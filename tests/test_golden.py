@@ -120,7 +120,7 @@ def test_labeling(spark):
     d = labeling.route(labeling.votes(spark.createDataFrame(rows, "id int, text string"), "text"))
     got = {r["id"]: (r["route"], r["final_label"]) for r in d.collect()}
     assert got[1] == ("auto_labeled", "CANCEL_INTENT") and got[2][0] == "human_review" and got[3] == ("unknown_unknowns", None)
-    assert got[4] == ("auto_labeled", "BILLING_INTENT") and got[5][0] == "unknown_unknowns"
+    assert got[4] == ("auto_labeled", "BILLING_ISSUE") and got[5][0] == "unknown_unknowns"
     registry = [labeling.any_of("A", "x"), labeling.any_of("B", "x"), labeling.any_of("B", "y"), labeling.any_of("B", "z")]
     r = labeling.route(labeling.votes(spark.createDataFrame([("xyz",)], "text string"), "text", registry)).first()
     assert (r["top_label"], r["consensus"], r["route"]) == ("B", 0.75, "auto_labeled")
