@@ -39,6 +39,21 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int = 3, rounds: int = 5) ->
     return labelled
 
 
+def kmeans_trained(df: DataFrame, key: str, vector: str, k: int = 2, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """(key, cluster) by the library's distributed K-Means with its parallel seeding; rows with a null vector are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_features"))
+    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_features", predictionCol="cluster").fit(rows)
+    return model.transform(rows).select(key, "cluster")
+
+
+def purity(df: DataFrame, cluster: str, truth: str) -> DataFrame:
+    """(cluster, n, purity): the share of each cluster's rows that have its most frequent truth."""
+    return crosstab(df, cluster, truth).groupBy(cluster).agg(F.sum("n").alias("n_rows"), F.max("n").alias("most")).select(cluster, F.col("n_rows").alias("n"), (F.col("most") / F.col("n_rows")).alias("purity"))
+
+
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 1.5, least: int = 5) -> DataFrame:
     """(key, cluster): cluster is the least core point's key, -1 noise. A border point joins the least cluster in reach.
 

@@ -123,5 +123,6 @@ def lsh_similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float
     """
     c = classes(df, key, text, k)
     sets = representatives(c, key)
-    found = verified(candidates(set_bands(sets), "id"), sets, threshold)
+    spread = sets.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # minima cost time, not bytes
+    found = verified(candidates(set_bands(spread), "id"), sets, threshold)
     return found.unionByName(member_links(c, key)) if members else found

@@ -14,6 +14,7 @@ from ..operators import labeling as L
 from ..operators import logs as G
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..session import cut, scratch, small
 from ..session import table as t
 from ..sources import generators as X
 from ..sources import io as IO
@@ -82,19 +83,19 @@ pts AS (SELECT t, tp, fp, CASE WHEN p = 0 THEN 0 ELSE tp / p::DOUBLE END AS tpr,
 
 
 def probs(s, d):
-    """Class and committee probabilities from the first components of the embeddings."""
+    """Class and committee probabilities from the first components of the embeddings, and the whole vectors."""
     e = V.as_double(F.col("embedding"))
     a = [F.abs(e[i]) + 0.001 for i in range(3)]
     total = a[0] + a[1] + a[2]
     b = [F.abs(e[i]) / (F.abs(e[i]) + F.abs(e[i + 1]) + 0.001) for i in (3, 5, 7)]
-    return t(s, d, "embeddings").select("vec_id", F.array(*[x / total for x in a]).alias("probs"), F.array(*b).alias("committee"), (a[0] / total).alias("prob"), F.array(*[e[i] for i in range(8)]).alias("v8"), "label")
+    return t(s, d, "embeddings").select("vec_id", F.array(*[x / total for x in a]).alias("probs"), F.array(*b).alias("committee"), (a[0] / total).alias("prob"), e.alias("v"), "label")
 
 
 PRB = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 a AS (SELECT vec_id, label, v, abs(v[1]) + 0.001 AS a0, abs(v[2]) + 0.001 AS a1, abs(v[3]) + 0.001 AS a2 FROM e),
-p AS (SELECT vec_id, label, v[1:8] AS v8, [a0 / (a0 + a1 + a2), a1 / (a0 + a1 + a2), a2 / (a0 + a1 + a2)] AS probs, a0 / (a0 + a1 + a2) AS prob,
+p AS (SELECT vec_id, label, v, [a0 / (a0 + a1 + a2), a1 / (a0 + a1 + a2), a2 / (a0 + a1 + a2)] AS probs, a0 / (a0 + a1 + a2) AS prob,
  [abs(v[4]) / (abs(v[4]) + abs(v[5]) + 0.001), abs(v[6]) / (abs(v[6]) + abs(v[7]) + 0.001), abs(v[8]) / (abs(v[8]) + abs(v[9]) + 0.001)] AS committee FROM a)"""
-DIST = "sqrt(list_sum(list_transform(range(1, 9), lambda i: (x.v8[i] - y.v8[i]) * (x.v8[i] - y.v8[i]))))"
+DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))))"
 KNN = PRB + f""", nn AS (SELECT x.vec_id, y.vec_id AS other, {DIST} AS distance FROM p x, p y WHERE x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id),
 k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rn FROM nn) WHERE rn <= 5),
 raw AS (SELECT vec_id, 1.0 / (avg(distance) + 0.001) AS raw FROM k5 GROUP BY vec_id),
@@ -104,11 +105,11 @@ den AS (SELECT vec_id, CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 0 ELSE
 def centred(s, d):
     """Distance of each vector to its label's centroid."""
     p = probs(s, d)
-    return p.join(F.broadcast(C.mean_pool(p, "label", "v8")), "label").select("vec_id", "label", V.euclidean(F.col("v8"), F.col("centroid")).alias("distance"))  # one centroid a label
+    return p.join(small(cut(C.mean_pool(p, "label", "v"))), "label").select("vec_id", "label", V.euclidean(F.col("v"), F.col("centroid")).alias("distance"))
 
 
-CEN = PRB + """, cen AS (SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(v8[i]) AS c FROM p, range(1, 9) r(i) GROUP BY label, i) GROUP BY label),
-dist AS (SELECT vec_id, label, sqrt(list_sum(list_transform(range(1, 9), lambda i: (v8[i] - c[i]) * (v8[i] - c[i])))) AS distance FROM p JOIN cen USING (label))"""
+CEN = PRB + """, cen AS (SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS c FROM p, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+dist AS (SELECT vec_id, label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))) AS distance FROM p JOIN cen USING (label))"""
 
 #: Labelling functions from frequent words of the invented languages.
 WORDS = [L.any_of("ENGLISH", "thing", "tion of"), L.any_of("GERMAN", "schaft", "ung der", " und "), L.pattern("FRENCH", r"\b(les|des|pour)\b"), L.question("QUESTION")]
@@ -126,7 +127,96 @@ def donut(s, d):
     return t(s, d, "customer").select(F.col("c_custkey").alias("i")).select(F.col("i"), x.alias("x"), y.alias("y"), kind.alias("kind"))
 
 
+#: Neighbours, core points, the least core point that each can be reached from, and border points.
+DBSCAN = """un AS (SELECT c_custkey AS i, (('0x' || substr(md5('angle_' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * (2 * pi()) AS a, ('0x' || substr(md5('radius_' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS r,
+ (('0x' || substr(md5('x_' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 40 - 20 AS wx, (('0x' || substr(md5('y_' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 40 - 20 AS wy, CASE WHEN c_custkey < 200 THEN 'inner' WHEN c_custkey < 600 THEN 'ring' ELSE 'noise' END AS kind FROM customer),
+pt AS (SELECT i, kind, CASE kind WHEN 'noise' THEN wx WHEN 'inner' THEN r * 5 * cos(a) ELSE (r * 5 + 10) * cos(a) END AS x, CASE kind WHEN 'noise' THEN wy WHEN 'inner' THEN r * 5 * sin(a) ELSE (r * 5 + 10) * sin(a) END AS y FROM un),
+nb AS (SELECT p.i AS a, q.i AS b FROM pt p, pt q WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 2.25), co AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
+cl AS (SELECT a, b FROM nb WHERE a IN (SELECT a FROM co) AND b IN (SELECT a FROM co)),
+rc(n, m) AS (SELECT a, a FROM co UNION SELECT cl.b, rc.m FROM rc JOIN cl ON cl.a = rc.n WHERE rc.m < cl.b),
+ro AS (SELECT n, min(m) AS root FROM rc GROUP BY n), bo AS (SELECT b, min(root) AS root FROM nb JOIN ro ON n = a GROUP BY b),
+db AS (SELECT pt.i, kind, coalesce(ro.root, bo.root, -1)::BIGINT AS cluster FROM pt LEFT JOIN ro ON ro.n = pt.i LEFT JOIN bo ON bo.b = pt.i)"""
+
+
+def kmeans_sql(k: int, rounds: int) -> str:
+    """Lloyd rounds written out: assignment a0, centroids c1, assignment a1 and so on."""
+    euclid = "sqrt(list_sum(list_transform(range(1, 65), lambda j: (p.v[j] - c.v[j]) * (p.v[j] - c.v[j]))))"
+    parts = [PRB, f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, v FROM p ORDER BY vec_id LIMIT {k})"]
+    for r in range(rounds):
+        if r:
+            parts.append(f"c{r} AS (SELECT c.i, coalesce(m.v, c.v) AS v FROM c{r - 1} c LEFT JOIN (SELECT i, list(x ORDER BY j) AS v FROM (SELECT i, j, avg(v[j]) AS x FROM a{r - 1}, range(1, 65) g(j) GROUP BY i, j) GROUP BY i) m USING (i))")
+        parts.append(f"a{r} AS (SELECT * FROM (SELECT p.vec_id, p.v, c.i, {euclid} AS distance, row_number() OVER (PARTITION BY p.vec_id ORDER BY {euclid}, c.i) AS o FROM p, c{r} c) WHERE o = 1)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, i::INTEGER AS cluster, round(distance, 6) AS distance FROM a{rounds - 1}"
+
+
+def cover_sql(budget: int) -> str:
+    """Greedy picks written out: pick p1, distances d1 to the picks so far, pick p2 and so on."""
+    euclid = "sqrt(list_sum(list_transform(range(1, 65), lambda j: (x.v[j] - y.v[j]) * (x.v[j] - y.v[j]))))"
+    parts = [PRB, "p1 AS (SELECT vec_id, v FROM p ORDER BY vec_id LIMIT 1)", f"d1 AS (SELECT x.vec_id, x.v, {euclid} AS d FROM p x, p1 y WHERE x.vec_id <> y.vec_id)"]
+    for r in range(2, budget + 1):
+        parts.append(f"p{r} AS (SELECT vec_id, v FROM d{r - 1} ORDER BY d DESC, vec_id LIMIT 1)")
+        parts.append(f"d{r} AS (SELECT x.vec_id, x.v, least(x.d, {euclid}) AS d FROM d{r - 1} x, p{r} y WHERE x.vec_id <> y.vec_id)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT vec_id, {r}::BIGINT AS pick FROM p{r}" for r in range(1, budget + 1))
+
+
+#: Turns with words that the built-in labelling functions look for, as a rule of their ids says.
+PHRASES = ("", " please cancel it", " a cheaper basic plan", " refund the invoice", " how do I do it?")
+TAGGED = "tg AS (SELECT conv_id, turn, lower(text || [" + ", ".join(f"'{x}'" for x in PHRASES) + "][(conv_id * 7 + turn) % 5 + 1]) AS w FROM conversations)"
+RGV = TAGGED + r""", v AS (SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(w, 'cancel|terminate|close account|unsubscribe') THEN 'CANCEL_INTENT' END, CASE WHEN regexp_matches(w, 'downgrade|cheaper|lower tier|basic plan') THEN 'DOWNGRADE_INTENT' END,
+ CASE WHEN regexp_matches(w, '(^|[^\p{L}\p{M}\p{N}_])(charge|bill|invoice|refund)($|[^\p{L}\p{M}\p{N}_])') OR regexp_matches(w, '[\p{L}\p{M}\p{N}_]$') THEN 'BILLING_ISSUE' END,
+ CASE WHEN contains(w, '?') OR starts_with(w, 'how') OR starts_with(w, 'why') OR starts_with(w, 'can i') OR starts_with(w, 'what') THEN 'QUESTION' END], lambda x: x IS NOT NULL) AS votes FROM tg)"""
+
+
+def registered(s, d):
+    """Votes of the built-in labelling functions."""
+    extra = F.element_at(F.array(*[F.lit(x) for x in PHRASES]), ((F.col("conv_id") * 7 + F.col("turn")) % 5 + 1).cast("int"))
+    return L.votes(t(s, d, "conversations").withColumn("text", F.concat("text", extra)), "text")
+
+
+def staged(s, d, name, write):
+    """A file-fed query's input, written below the shared folder first."""
+    path = scratch(s, name)
+    write(path)
+    return path
+
+
+def logged(s, d):
+    path = staged(s, d, "log", lambda p: log(s, d).write.text(p))
+    return IO.read_lines(s, path)
+
+
+def exported(s, d):
+    """The inventory as JSON documents with all their records in one array, read back with the declared schema."""
+    records = X.inventory(t(s, d, "part")).groupBy((F.col("payload.metrics.weight_oz") % 16).alias("part")).agg(F.collect_list(F.struct("metadata", "payload")).alias("inventory_items"))
+    path = staged(s, d, "export", lambda p: IO.write_json(records.select(F.struct("inventory_items").alias("data_lake_exports"), "part").repartition("part"), p, "part"))
+    return IO.read_document(s, path)
+
+
+def texts_of(s, d):
+    """The benchmark's items as a folder of texts, a shard for each remainder of their ids."""
+    path = staged(s, d, "texts", lambda p: t(s, d, "benchmark").where("text IS NOT NULL").select(F.regexp_replace("text", r"\s+", " ").alias("value"), F.col("item_id").alias("k")).repartition("k").write.partitionBy("k").text(p))
+    return s.read.text(f"{path}/*/*.txt", wholetext=True)
+
+
 Q: dict[str, tuple] = {
+    # files
+    "lines_from_files": (lambda s, d: G.errors_by_service(G.rollup(G.parse(logged(s, d)))), f"WITH {LOG} SELECT service, count(*) AS errors FROM lines WHERE level = 'ERROR' GROUP BY service"),
+    "documents_from_files": (
+        lambda s, d: E.clean_inventory(E.flatten(exported(s, d))).select("id", "price"),
+        f"WITH {INV} SELECT id, price FROM clean",
+    ),
+    "texts_from_files": (
+        lambda s, d: texts_of(s, d).select(F.md5(F.trim(F.regexp_replace("value", r"\s+", " "))).alias("text_md5")),
+        "SELECT md5(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS text_md5 FROM benchmark WHERE text IS NOT NULL",
+    ),
+    "sharded_events": (
+        lambda s, d: s.read.schema("event_type string, user_id bigint").json(staged(s, d, "shards", lambda p: IO.write_sharded(t(s, d, "events").select("event_type", "user_id"), "user_id", 4, p))).withColumn("file", F.col("_metadata.file_path")).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files")),
+        "SELECT user_id, count(*) AS n, 1::BIGINT AS n_files FROM events GROUP BY user_id",
+    ),
+    "staged_orders": (
+        lambda s, d: IO.stage(t(s, d, "orders"), scratch(s, "orders")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last")),
+        "SELECT o_orderpriority, count(*) AS n, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1",
+    ),
     # logs
     "ban_users": (
         lambda s, d: G.banned(t(s, d, "events").where("event_type = 'error' AND user_id IS NOT NULL"), "user_id", F.to_date("ts"), 2),
@@ -155,7 +245,7 @@ Q: dict[str, tuple] = {
     ),
     "streaming_bans": (
         lambda s, d: G.banned(ST.run_to_end(ST.banned_stream(s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/event[s].parquet").where("event_type = 'error'"), threshold=2), s, "bans"), "user_id", F.col("day"), 0).select("user_id"),
-        None,
+        "SELECT DISTINCT user_id FROM (SELECT user_id, ts::DATE AS day FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) > 2)",
     ),
     # cleaning
     "flatten_inventory": (
@@ -231,6 +321,8 @@ Q: dict[str, tuple] = {
         lambda s, d: L.route(voted(s, d)).select("conv_id", "turn", "top_label", *R6("consensus"), "route", "final_label"),
         f"WITH {LFV} SELECT conv_id, turn, votes[1] AS top_label, CASE WHEN len(votes) > 0 THEN round(1.0::DOUBLE / len(votes), 6) END AS consensus, CASE WHEN len(votes) = 0 THEN 'unknown_unknowns' WHEN len(votes) = 1 THEN 'auto_labeled' ELSE 'human_review' END AS route, CASE WHEN len(votes) = 1 THEN votes[1] END AS final_label FROM v",
     ),
+    "registry_votes": (lambda s, d: registered(s, d).select("conv_id", "turn", F.array_join("votes", ",").alias("votes")), f"WITH {RGV} SELECT conv_id, turn, array_to_string(votes, ',') AS votes FROM v"),
+    "registry_histogram": (lambda s, d: L.histogram(registered(s, d)), f"WITH {RGV} SELECT label, count(*) AS n FROM (SELECT unnest(votes) AS label FROM v) GROUP BY label"),
     # sampling
     "random_sample": (lambda s, d: S.random_sample(t(s, d, "documents").select("doc_id"), "doc_id", 50), "SELECT doc_id FROM documents ORDER BY md5('s_' || doc_id), doc_id LIMIT 50"),
     "stratified_proportional": (
@@ -262,12 +354,12 @@ Q: dict[str, tuple] = {
         f"WITH {PRB} SELECT vec_id, round(m, 6) AS score FROM (SELECT vec_id, round(1 - 2 * abs(prob - 0.5), 9) AS m FROM p) ORDER BY m DESC, vec_id LIMIT 10",
     ),
     "knn_neighbours": (
-        lambda s, d: S.nearest(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v8", 5).select("vec_id", "other", *R6("distance")),
+        lambda s, d: S.nearest(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v", 5).select("vec_id", "other", *R6("distance")),
         f"WITH {KNN} SELECT vec_id, other, round(distance, 6) AS distance FROM k5",
     ),
-    "knn_density": (lambda s, d: S.density(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v8").select("vec_id", *R6("density")), f"WITH {KNN} SELECT vec_id, round(density, 6) AS density FROM den"),
+    "knn_density": (lambda s, d: S.density(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v").select("vec_id", *R6("density")), f"WITH {KNN} SELECT vec_id, round(density, 6) AS density FROM den"),
     "hybrid_topn": (
-        lambda s, d: S.top(S.density(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v8").join(probs(s, d).select("vec_id", "prob"), "vec_id"), F.round(S.hybrid(S.uncertainty(F.col("prob")), F.col("density")), 9), "vec_id", 3).select("vec_id", *R6("score")),
+        lambda s, d: S.top(S.density(probs(s, d).where("vec_id % 100 = 0"), probs(s, d), "vec_id", "v").join(probs(s, d).select("vec_id", "prob"), "vec_id"), F.round(S.hybrid(S.uncertainty(F.col("prob")), F.col("density")), 9), "vec_id", 3).select("vec_id", *R6("score")),
         f"WITH {KNN} SELECT vec_id, round(m, 6) AS score FROM (SELECT vec_id, round((1 - 2 * abs(prob - 0.5)) * density, 9) AS m FROM den JOIN p USING (vec_id)) ORDER BY m DESC, vec_id LIMIT 3",
     ),
     "centroid_sample": (
@@ -278,15 +370,16 @@ Q: dict[str, tuple] = {
         lambda s, d: S.by_distance(centred(s, d), "label", "vec_id", "distance", 3, farthest=True).select("vec_id", "label", *R6("distance"), "rank"),
         f"WITH {CEN} SELECT vec_id, label, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance DESC, vec_id) AS rank FROM dist) WHERE rank <= 3",
     ),
-    "core_set": (lambda s, d: S.core_set(probs(s, d), "vec_id", "v8", 6), None),
+    "core_set": (lambda s, d: S.core_set(probs(s, d), "vec_id", "v", 6), cover_sql(6)),
     # clusters
     "mean_pool": (
-        lambda s, d: C.mean_pool(probs(s, d), "label", "v8").select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", *R6("x")),
-        f"WITH {PRB} SELECT label, (i - 1)::INTEGER AS i, round(avg(v8[i]), 6) AS x FROM p, range(1, 9) r(i) GROUP BY label, i",
+        lambda s, d: C.mean_pool(probs(s, d), "label", "v").select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", *R6("x")),
+        f"WITH {PRB} SELECT label, (i - 1)::INTEGER AS i, round(avg(v[i]), 6) AS x FROM p, range(1, 65) r(i) GROUP BY label, i",
     ),
-    "kmeans_fixed": (lambda s, d: C.kmeans(probs(s, d).select("vec_id", "v8"), "vec_id", "v8", 3).select("vec_id", "cluster", *R6("distance")), None),
-    "dbscan": (lambda s, d: C.dbscan(donut(s, d), "i", "x", "y"), None),
-    "dbscan_crosstab": (lambda s, d: C.crosstab(C.dbscan(donut(s, d), "i", "x", "y").join(donut(s, d).select("i", "kind"), "i"), "cluster", "kind"), None),
+    "kmeans_fixed": (lambda s, d: C.kmeans(probs(s, d).select("vec_id", "v"), "vec_id", "v", 3).select("vec_id", "cluster", *R6("distance")), kmeans_sql(3, 5)),
+    "dbscan": (lambda s, d: C.dbscan(donut(s, d), "i", "x", "y"), f"WITH RECURSIVE {DBSCAN} SELECT i, cluster FROM db"),
+    "dbscan_crosstab": (lambda s, d: C.crosstab(C.dbscan(donut(s, d), "i", "x", "y").join(donut(s, d).select("i", "kind"), "i"), "cluster", "kind"), f"WITH RECURSIVE {DBSCAN} SELECT cluster, kind, count(*) AS n FROM db GROUP BY 1, 2"),
+    "kmeans_trained": (lambda s, d: C.purity(C.kmeans_trained(donut(s, d).withColumn("v", F.array("x", "y")), "i", "v", 2).join(donut(s, d).select("i", "kind"), "i"), "cluster", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("clusters")), "SELECT count(*) AS n, 2::BIGINT AS clusters FROM customer"),
     # metrics
     "confusion_metrics": (
         lambda s, d: M.with_scores(M.confusion(annotators(s, d))).select("tp", "fp", "fn", "tn", *R6("accuracy", "precision", "recall", "f1", "f2", "f0_5")),

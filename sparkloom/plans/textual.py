@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import fuzzy as Z
 from ..operators import identity as I
 from ..operators import neardup as D
 from ..operators import retrieval as B
 from ..operators import semantic as S
+from ..session import numbered
 from ..session import table as t
 from .tabular import R6
 
@@ -34,8 +36,8 @@ def queries_of(s, d):
     return t(s, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def ranked(s, d, model):
-    return B.search(t(s, d, "documents"), "doc_id", "text", B.query_terms(queries_of(s, d)), model)
+def ranked(s, d, model, whole=False):
+    return B.search(t(s, d, "documents"), "doc_id", "text", B.query_terms(queries_of(s, d)), model, whole)
 
 
 def vocabulary(s, d):
@@ -52,12 +54,23 @@ VOC = "voc AS (SELECT lower(w) AS word, count(*) AS freq FROM (SELECT unnest(" +
 DEL = lambda c: f"list_filter(list_distinct(list_concat([{c}], list_transform(range(1, length({c}) + 1), lambda i: {c}[1:i - 1] || {c}[i + 1:]))), lambda x: x <> '')"
 
 
-def turns(s, d):
-    """One row for each distinct text of a conversation turn."""
-    return t(s, d, "conversations").where("text IS NOT NULL").groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+def distinct_texts(s, d):
+    """One row for each distinct text of a document."""
+    return t(s, d, "documents").where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("id"))
 
 
-TURNS = "turns AS (SELECT text, min(conv_id * 1000 + turn) AS id FROM conversations WHERE text IS NOT NULL GROUP BY text)"
+DISTINCT = "texts AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text)"
+#: Similar pairs of representatives of equal shingle sets, and every other member with its representative.
+JACCARD = f"""WITH {SHG('documents', 'doc_id', 5)}, hs AS (SELECT id, list(s ORDER BY s) AS l FROM sh GROUP BY id), rep AS (SELECT min(id) AS id, any_value(len(l)) AS n, l FROM hs GROUP BY l), r AS (SELECT sh.id, s, n FROM sh JOIN rep USING (id)),
+i AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM r x JOIN r y USING (s) WHERE x.id < y.id GROUP BY 1, 2, 3, 4)
+SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM i WHERE c / (na + nb - c)::DOUBLE >= 0.8 UNION ALL SELECT rep.id, hs.id, 1.0 FROM hs JOIN rep USING (l) WHERE rep.id <> hs.id"""
+
+
+def agreements(s, d):
+    """Share of equal signature places of every hundredth item with all items."""
+    m = D.minhash(t(s, d, "benchmark"), "item_id", "text")
+    q, p = (m.select(F.col("item_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
+    return V.in_blocks(q.where("a % 100 = 0"), "a", p).select("a", "b", F.round(D.agreement(F.col("sa"), F.col("sb")), 6).alias("agreement"))
 SIG = lambda src: f"ix AS (SELECT range AS i FROM range(100)), mh AS (SELECT id, i, min(sha1(i || '_' || s)) AS m FROM sh, ix GROUP BY 1, 2), sg0 AS (SELECT id, list(m ORDER BY i) AS sig FROM mh GROUP BY id), sg AS (SELECT x.id, coalesce(sig, list_transform(range(100), lambda z: 'inf')) AS sig FROM (SELECT DISTINCT id FROM sw) x LEFT JOIN sg0 USING (id))"
 
 SEN = "sn AS (SELECT item_id, no, regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') AS sentence FROM (SELECT item_id, unnest(string_split(text, '.')) AS sentence, unnest(range(0, len(string_split(text, '.')))) AS no FROM benchmark) WHERE regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') <> '')"
@@ -97,7 +110,18 @@ Q: dict[str, tuple] = {
         lambda s, d: t(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("bigint").alias("distance")),
         "SELECT p_partkey, levenshtein(p_name, p_type)::BIGINT AS distance FROM part",
     ),
-    "osa_pairs": (lambda s, d: t(s, d, "part").select("p_partkey", Z.osa_distance(F.col("p_name"), F.col("p_type")).alias("distance")), None),
+    "osa_pairs": (
+        lambda s, d: t(s, d, "part").select("p_partkey", Z.osa_distance(F.col("p_name"), F.col("p_type")).cast("bigint").alias("distance")),
+        """WITH RECURSIVE o(k, a, b, i, j, before, last, now) AS (SELECT p_partkey, p_name, p_type, 1, 0, [0]::BIGINT[], range(0, length(p_type) + 1), [1]::BIGINT[] FROM part
+ UNION ALL SELECT k, a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END, CASE WHEN j = length(b) THEN last ELSE before END, CASE WHEN j = length(b) THEN now ELSE last END,
+ CASE WHEN j = length(b) THEN [i + 1] ELSE list_append(now, least(last[j + 2] + 1, now[j + 1] + 1, last[j + 1] + (a[i] <> b[j + 1])::INTEGER, CASE WHEN i > 1 AND j >= 1 AND a[i] = b[j] AND a[i - 1] = b[j + 1] THEN before[j] + 1 ELSE 1000 END)) END FROM o WHERE i <= length(a))
+SELECT k AS p_partkey, last[length(b) + 1]::BIGINT AS distance FROM o WHERE i = length(a) + 1""",
+    ),
+    "radius_two": (
+        lambda s, d: Z.radius_search(misspelt(s, d), vocabulary(s, d), 2, F.levenshtein).withColumn("distance", F.col("distance").cast("bigint")),
+        f"WITH {VOC} SELECT query, word, levenshtein(query, word)::BIGINT AS distance FROM mq, voc WHERE levenshtein(query, word) <= 2",
+    ),
+    "deletion_variants_two": (lambda s, d: Z.variants(vocabulary(s, d).select("word"), "word", 2).distinct(), f"WITH {VOC}, one AS (SELECT word, unnest({DEL('word')}) AS v FROM voc) SELECT DISTINCT word, unnest({DEL('v')}) AS variant FROM one"),
     "prefix_similarity": (
         lambda s, d: t(s, d, "part").select("p_partkey", F.round(T.prefix_similarity(F.col("p_brand"), F.concat(F.col("p_brand").substr(1, 3), F.col("p_type"))), 6).alias("similarity")),
         "WITH x AS (SELECT p_partkey, p_brand AS a, p_brand[1:3] || p_type AS b FROM part), y AS (SELECT *, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS sim, CASE WHEN length(a) >= 4 AND a[1:4] = b[1:4] THEN 4 WHEN length(a) >= 3 AND a[1:3] = b[1:3] THEN 3 ELSE least(length(a), 2) END AS k FROM x) SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE sim + k * 0.1 * (1 - sim) END, 6) AS similarity FROM y",
@@ -115,8 +139,8 @@ Q: dict[str, tuple] = {
     # near duplicates
     "shingle_counts": (lambda s, d: t(s, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("bigint").alias("n")), f"WITH {SHG('documents', 'doc_id', 3)}, c AS (SELECT id, count(*) AS n FROM sh GROUP BY id) SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN c ON id = doc_id"),
     "jaccard_pairs": (
-        lambda s, d: D.similar_sets(t(s, d, "documents"), "doc_id", "text").select("a", "b", *R6("jaccard")),
-        f"WITH {SHG('documents', 'doc_id', 5)}, hs AS (SELECT id, list(s ORDER BY s) AS l FROM sh GROUP BY id), rep AS (SELECT min(id) AS id, any_value(len(l)) AS n FROM hs GROUP BY l), r AS (SELECT sh.id, s, n FROM sh JOIN rep USING (id)), i AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM r x JOIN r y USING (s) WHERE x.id < y.id GROUP BY 1, 2, 3, 4) SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM i WHERE c / (na + nb - c)::DOUBLE >= 0.8",
+        lambda s, d: D.similar_sets(t(s, d, "documents"), "doc_id", "text", members=True).select("a", "b", *R6("jaccard")),
+        JACCARD,
     ),
     "containment_bench": (
         lambda s, d: D.overlaps(D.shingle_rows(t(s, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "id"), D.shingle_rows(t(s, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")).select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), *R6("jaccard", "containment")),
@@ -126,11 +150,15 @@ Q: dict[str, tuple] = {
         lambda s, d: D.minhash(t(s, d, "benchmark"), "item_id", "text").select("item_id", F.array_join("signature", ",").alias("signature")),
         f"WITH {SHG('benchmark', 'item_id', 3)}, {SIG('sh')} SELECT id AS item_id, array_to_string(sig, ',') AS signature FROM sg",
     ),
+    "signature_agreement": (
+        lambda s, d: agreements(s, d),
+        f"WITH {SHG('benchmark', 'item_id', 3)}, {SIG('sh')} SELECT x.id AS a, y.id AS b, round(len(list_filter(range(1, 101), lambda i: x.sig[i] = y.sig[i])) / 100.0::DOUBLE, 6) AS agreement FROM sg x, sg y WHERE x.id % 100 = 0",
+    ),
     "lsh_pairs": (
-        lambda s, d: D.candidates(D.bands(D.minhash(turns(s, d), "id", "text"), "id"), "id"),
-        f"WITH {TURNS}, {SHG('turns', 'id', 3)}, {SIG('sh')}, bd AS (SELECT id, b, array_to_string(sig[b * 5 + 1:b * 5 + 5], '|') AS k FROM sg, range(20) r(b)) SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id",
+        lambda s, d: D.candidates(D.bands(D.minhash(distinct_texts(s, d), "id", "text"), "id"), "id"),
+        f"WITH {DISTINCT}, {SHG('texts', 'id', 3)}, {SIG('sh')}, bd AS (SELECT id, b, array_to_string(sig[b * 5 + 1:b * 5 + 5], '|') AS k FROM sg, range(20) r(b)) SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id",
     ),
-    "lsh_verified": (lambda s, d: D.lsh_similar(t(s, d, "documents"), "doc_id", "text").select("a", "b", *R6("jaccard")), None),
+    "lsh_verified": (lambda s, d: D.lsh_similar(t(s, d, "documents"), "doc_id", "text", members=True).select("a", "b", *R6("jaccard")), JACCARD),
     # retrieval
     "inverted_index": (
         lambda s, d: B.postings(t(s, d, "documents"), "doc_id", "text").select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")),
@@ -141,7 +169,7 @@ Q: dict[str, tuple] = {
     "tfidf_topk": (lambda s, d: ranked(s, d, "tfidf").where("rank <= 20").select("query_id", "doc_id", *R6("score"), "rank"), f"WITH {BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM tir WHERE rank <= 20"),
     "bm25_topk": (lambda s, d: ranked(s, d, "bm25").where("rank <= 20").select("query_id", "doc_id", *R6("score"), "rank"), f"WITH {BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 20"),
     "rrf_fusion": (
-        lambda s, d: B.fuse(ranked(s, d, "bm25"), ranked(s, d, "tfidf")).select("query_id", "doc_id", F.round("rrf", 8).alias("rrf")),
+        lambda s, d: B.fuse(ranked(s, d, "bm25", True), ranked(s, d, "tfidf", True)).select("query_id", "doc_id", F.round("rrf", 8).alias("rrf")),
         f"WITH {BM} SELECT query_id, doc_id, round(sum(1.0 / (rank + 60)), 8) AS rrf FROM (SELECT query_id, doc_id, rank FROM bmr UNION ALL SELECT query_id, doc_id, rank FROM tir) GROUP BY 1, 2",
     ),
     "boolean_and": (
@@ -174,7 +202,7 @@ Q: dict[str, tuple] = {
         f"SELECT p_partkey, len(list_intersect({WDS('lower(p_name)')}, {WDS("lower(p_type || ' ' || p_brand || ' ' || string_split(p_name, ' ')[1])")})) AS n FROM part",
     ),
     "joined_words": (
-        lambda s, d: t(s, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names")).select("p_brand", F.md5("names").alias("names_md5")),
-        "SELECT p_brand, md5(string_agg(p_name, ' ' ORDER BY p_partkey)) AS names_md5 FROM part GROUP BY p_brand",
+        lambda s, d: numbered(t(s, d, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], "i").groupBy("p_brand", F.floor((F.col("i") - 1) / 1000).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names")).select("p_brand", "page", F.md5("names").alias("names_md5")),
+        "SELECT p_brand, page, md5(string_agg(p_name, ' ' ORDER BY p_partkey)) AS names_md5 FROM (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 1000 AS page FROM part) GROUP BY p_brand, page",
     ),
 }

@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.numbers import unit
 
 DEPTS = ["Electronics", "Books", "Home & Kitchen"]
+#: Shares of missing ratings by department, as fixed values.
+FAULTS = {"Electronics": 0.15, "Books": 0.02, "Home & Kitchen": 0.05}
+#: Levels of the language pipeline's log with their weights, its services, and the kinds of its messages, as fixed values.
+LEVELS = {"ERROR": 0.08, "WARN": 0.17, "INFO": 0.55, "DEBUG": 0.20}
+SERVICES = ["auth", "search", "recommend", "ingest", "parse", "tokenise", "embed", "rank"]
 
 
-def inventory(part: DataFrame) -> DataFrame:
-    """Messy nested records: noisy ids, prices in two places, missing ratings, three date forms, some broken."""
+def inventory(part: DataFrame, missing: dict[str, float] | None = None) -> DataFrame:
+    """Messy nested records: noisy ids, prices in two places, missing ratings, three date forms, some broken.
+
+    missing: the share of ratings that each department lacks, drawn by hash; None: every eleventh one.
+    """
     k = F.col("p_partkey")
     d = F.date_add(F.lit("2023-01-01").cast("date"), (k % 400).cast("int"))
     style = F.floor(k / 3) % 3
     created = F.when(k % 97 == 0, "not a date").when(style == 0, F.date_format(d, "yyyy-MM-dd")).when(style == 1, F.date_format(d, "MM/dd/yyyy")).otherwise((F.unix_date(d).cast("bigint") * 86400).cast("string"))
     noise = F.concat(F.when(k % 4 == 1, " ").otherwise(""), F.lit("ID_"), k.cast("string"), F.when(k % 4 == 0, " ").when(k % 4 == 2, "​").otherwise(""))
     price = F.format_string("%.2f", "p_retailprice")
+    dept = F.element_at(F.array(*[F.lit(x) for x in DEPTS]), (k % 3 + 1).cast("int"))
+    rated = k % 11 != 0
+    if missing is not None:
+        rated = unit("rating", k) >= F.coalesce(*[F.when(dept == x, v) for x, v in missing.items()], F.lit(0.0))
     listed = k % 10 >= 7
     return part.select(
         F.struct(noise.alias("internal_id"), F.lit("LOCAL-DB").alias("source_node")).alias("metadata"),
         F.struct(
             F.col("p_name").alias("product_name"),
-            F.element_at(F.array(*[F.lit(x) for x in DEPTS]), (k % 3 + 1).cast("int")).alias("dept"),
+            dept.alias("dept"),
             F.lit("In Stock").alias("availability"),
-            F.struct(F.when(k % 11 != 0, F.lit(1.0) + (k * 7 % 41) / 10.0).alias("rating"), F.col("p_size").cast("bigint").alias("weight_oz")).alias("metrics"),
+            F.struct(F.when(rated, F.lit(1.0) + (k * 7 % 41) / 10.0).alias("rating"), F.col("p_size").cast("bigint").alias("weight_oz")).alias("metrics"),
             F.struct(created.alias("created_at")).alias("history"),
             F.when(~listed, F.concat(F.lit("$"), price)).alias("price"),
             F.when(listed, F.struct(price.cast("double").alias("msrp_usd"), F.lit("USD").alias("currency"))).alias("pricing_info"),
@@ -46,6 +58,22 @@ def pipeline_log(events: DataFrame) -> DataFrame:
     return events.select(F.when(F.col("event_id") % 33 == 0, "short line").otherwise(line).alias("value"))
 
 
+def language_log(spark: SparkSession, n: int = 120_000) -> DataFrame:
+    """(value) lines of a language pipeline's log: a line each two seconds, levels by weight, services and messages by hash."""
+    u, upto, level = unit("level", F.col("id")), 0.0, None
+    for name, share in LEVELS.items():
+        upto += share
+        level = F.when(u < upto, name) if level is None else level.when(u < upto, name)
+    level = level.otherwise("DEBUG")
+    service = F.element_at(F.array(*[F.lit(x) for x in SERVICES]), (F.floor(unit("service", F.col("id")) * len(SERVICES)) + 1).cast("int"))
+    ms = (F.floor(unit("ms", F.col("id")) * 9999) + 1).cast("string")
+    message = F.when(level == "ERROR", F.concat(F.lit("request timed out after "), ms, F.lit("ms"))).when(level == "WARN", F.concat(F.lit("slow call: "), ms, F.lit("ms"))).when(level == "INFO", F.concat(F.lit("handled "), ms, F.lit(" items"))).otherwise(F.concat(F.lit("length "), ms))
+    second = F.pmod(F.lit(1_700_000_000) + F.col("id") * 2, F.lit(86_400))
+    month, day = F.floor(F.col("id") / 43_800) % 12 + 1, F.floor(F.col("id") / 1_440) % 28 + 1
+    stamp = F.format_string("2024-%02d-%02d %02d:%02d:%02d", month, day, F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return spark.range(n).select(F.concat(stamp, F.lit(" ["), level, F.lit("] service="), service, F.lit(" "), message).alias("value"))
+
+
 def security_log(events: DataFrame) -> DataFrame:
     """(value) JSON lines of log-ins: broken lines, missing addresses, and the word FAILURE in other fields."""
     status = F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS")
@@ -94,10 +122,10 @@ def template_lines(spark: SparkSession, n: int = 200_000) -> DataFrame:
 
 
 def messy_inventory(spark: SparkSession, n: int = 1_000) -> DataFrame:
-    """inventory() over n made parts with skewed prices."""
+    """inventory() over n made parts with skewed prices; ratings are missing in fixed shares of each department: 15, 2 and 5 %."""
     k = F.col("id") + 1
     price = 10 - 50 * (F.log(1 - unit("g1", k)) + F.log(1 - unit("g2", k)))  # gamma of shape 2
-    return inventory(spark.range(n).select(k.alias("p_partkey"), F.concat(F.lit("Product "), k.cast("string")).alias("p_name"), F.round(price, 2).alias("p_retailprice"), (k % 50).cast("int").alias("p_size")))
+    return inventory(spark.range(n).select(k.alias("p_partkey"), F.concat(F.lit("Product "), k.cast("string")).alias("p_name"), F.round(price, 2).alias("p_retailprice"), (k % 50).cast("int").alias("p_size")), FAULTS)
 
 
 def _kinds(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:

@@ -29,8 +29,9 @@ def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFram
     return spark.read.text(path, wholetext=True).select(F.regexp_replace(name, f"{suffix.replace('.', '[.]')}$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, *by: str) -> None:
+    """JSON lines; by: columns whose values get a folder each."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def write_sorted_text(df: DataFrame, column: str, path: str) -> None:

@@ -274,3 +274,67 @@ def test_controlled_documents(spark):
     sig = {r["doc_id"]: r["signature"] for r in neardup.minhash(docs, "doc_id", "text").collect()}
     est = spark.createDataFrame([(sig["A"], sig["B"])], "a array<string>, b array<string>").select(neardup.agreement(F.col("a"), F.col("b")).alias("x")).first()["x"]
     assert abs(est - got["A", "B"][0]) < 0.15
+
+
+def test_numbered_places(spark):
+    from sparkloom.session import numbered
+
+    rows = [(g, v) for v, g in enumerate([None, "a", "a", "b", "a", None, "b", "a"] * 40)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(7)
+    place, want = {}, set()
+    for g, v in rows:
+        place[g] = place.get(g, 0) + 1
+        want.add((g, v, place[g]))
+    assert {tuple(r) for r in numbered(df, ["g"], ["v"], "n").collect()} == want
+    assert numbered(df.limit(0), ["g"], ["v"], "n").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", max_size=7), st.text("abc", max_size=7)), max_size=12))
+def test_osa_blocks(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert Z.osa_block(a, b, 40).tolist() == Z.osa_block(a, b).tolist() == [Z.osa(x, y) for x, y in pairs]
+
+
+def test_quantiles_and_draws(spark):
+    import numpy as np
+
+    rows = [("a", float(v)) for v in (5, 1, 9, 9, 2)] + [("b", 3.0), ("b", None), (None, 1.0), (None, 2.0)]
+    got = {r["g"]: (r["q"], r["m"]) for r in A.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"q": 0.25, "m": 0.5}).collect()}
+    for g in ("a", "b", None):
+        own = [v for h, v in rows if h == g and v is not None]
+        assert np.allclose(got[g], np.quantile(own, [0.25, 0.5]))
+    c = X.four_classes(spark).groupBy("y_true").agg(F.avg((F.col("specialist") == F.col("y_true")).cast("double")).alias("s")).collect()
+    assert all(abs(r["s"] - 0.775) < 0.12 for r in c)
+    agree = X.four_classes(spark).agg(F.avg((F.col("annotator") == F.col("second")).cast("double"))).first()[0]
+    assert 0.8 < agree < 0.95
+    p = logs.parse(X.language_log(spark, 4000))
+    assert p.count() == 4000 and abs(p.where("level = 'ERROR'").count() / 4000 - 0.08) < 0.02 and p.select("service").distinct().count() == 8
+    m = E.flatten(X.messy_inventory(spark, 3000)).groupBy("payload_dept").agg(F.avg(F.col("payload_metrics_rating").isNull().cast("double")).alias("x")).collect()
+    assert all(abs(r["x"] - X.FAULTS[r["payload_dept"]]) < 0.03 for r in m)
+
+
+def test_radius_with_another_metric(spark):
+    words = ["kitten", "sitting", "mitten", "bitten", "kit", "ab", "ba"]
+    q, v = spark.createDataFrame([("kitten",), ("ab",)], "query string"), spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r["query"], r["word"], r["distance"]) for r in Z.radius_search(q, v, 2, F.levenshtein).collect()}
+    assert got == {("kitten", "kitten", 0), ("kitten", "mitten", 1), ("kitten", "bitten", 1), ("ab", "ab", 0), ("ab", "ba", 2)}
+
+
+def test_no_shared_folder(spark, monkeypatch):
+    from sparkloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
