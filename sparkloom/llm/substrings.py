@@ -234,7 +234,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [pieces(i, tokens(t), width, gram) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            found = [pieces(i.as_py(), tokens(t.as_py()), width, gram) for i, t in zip(b.column(0), b.column(1))]  # one text at a time
             if not found:
                 continue
             p, first = firsts(np.concatenate(found))  # a repeat within the batch needs no shuffle
@@ -281,7 +281,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in b.column(1)], pa.binary())], names=["id", "text"])
 
     texts = docs.mapInArrow(pack, "id bigint, text binary")
     asked = by_document(stage2.where("kind = 2"), ASK)
@@ -291,7 +291,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             p: list[np.ndarray] = []  # of each document: key, doc, start, number of words
             words: list[np.ndarray] = []
             single: list[np.ndarray] = []
-            for doc, data, text in zip(*(c.to_pylist() for c in b.columns)):
+            for row in zip(*b.columns):
+                doc, data, text = (x.as_py() for x in row)
                 w = tokens(zstandard.decompress(text).decode("utf-8", "surrogatepass"))
                 sums, every = prefix_sums(w), unsqueeze(data, ASK)
                 for hot in (0, 1):
@@ -401,8 +402,8 @@ def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         yield tuple(now), blobs
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256) of each row: words in a window that also starts earlier are removed.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, kept_sha256) of each row: words in a window that also starts earlier are removed. texts: with the column kept.
 
     Null and empty texts have no words and nothing is removed. Rows without doc_id come before all others; rows that
     share a doc_id are ordered by their texts, and wholly equal rows are one document of which each row gets the result.
@@ -413,19 +414,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         path = scratch(docs.sparkSession, "rows")
         d.groupBy("doc_id", "text").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
         rows = docs.sparkSession.read.parquet(path)
-        done = clean(rows.select("id", "text"), width, gram)
+        done = clean(rows.select("id", "text"), width, gram, texts)
         again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("_")
-        return rows.select("id", "doc_id", "n").join(done, "id").select("doc_id", again, "n_words", "n_removed", "kept", "kept_sha256").drop("_")
-    return clean(d.select(F.col("doc_id").alias("id"), "text"), width, gram).withColumnRenamed("id", "doc_id")
+        return rows.select("id", "doc_id", "n").join(done, "id").select("doc_id", again, *[c for c in done.columns if c != "id"]).drop("_")
+    return clean(d.select(F.col("doc_id").alias("id"), "text"), width, gram, texts).withColumnRenamed("id", "doc_id")
 
 
-def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def clean(docs: DataFrame, width: int, gram: int, with_kept: bool = True) -> DataFrame:
     marks, texts = repeated_windows(docs, width, gram)
+    fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), *[("kept", pa.string())] * with_kept, ("kept_sha256", pa.string())]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for text, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows: list[tuple] = []
+            for row in zip(*b.columns):
+                ident, text, data = (x.as_py() for x in row)
                 words = zstandard.decompress(text).split()
                 n = len(words)
                 if data:
@@ -436,11 +439,10 @@ def clean(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     gone = np.cumsum(steps[:n]) > 0
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                for c, v in zip(cols, (n, n - len(words), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
+                rows.append((ident, n, n - len(words), *[kept.decode("utf-8", "replace")] * with_kept, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
-    return texts.join(marks, "id", "left").select("id", "text", "data").mapInArrow(finish, "id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return texts.join(marks, "id", "left").select("id", "text", "data").mapInArrow(finish, f"id bigint, n_words bigint, n_removed bigint, {'kept string, ' * with_kept}kept_sha256 string")
 
 
 def match_reference(docs: DataFrame, reference: DataFrame, shortest: int = WIDTH, limit: int = 64 << 20) -> DataFrame:
@@ -488,4 +490,4 @@ def match_reference(docs: DataFrame, reference: DataFrame, shortest: int = WIDTH
 def op5_substring_dedup(docs: DataFrame) -> DataFrame:
     """The contract's columns of remove_repeats, which states the rules for nulls, empty texts, repeated rows and ids; other
     columns of docs are not read, and an empty table gives an empty result."""
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
