@@ -13,6 +13,7 @@ a shard are brought to it instead. `match_reference` is the form for a bounded r
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -144,6 +145,17 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what a worker no longer uses goes back to the system before the next one is read, as two workers and the JVM share an executor."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int8()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "id", "data"])
 
@@ -233,7 +245,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
         return rows_of(1, group_of(m["doc"], shards), m)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in freed(batches):
             found = [pieces(i.as_py(), tokens(t.as_py()), width, gram) for i, t in zip(b.column(0), b.column(1))]  # one text at a time
             if not found:
                 continue
@@ -287,7 +299,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     asked = by_document(stage2.where("kind = 2"), ASK)
 
     def give_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in freed(batches):
             p: list[np.ndarray] = []  # of each document: key, doc, start, number of words
             words: list[np.ndarray] = []
             single: list[np.ndarray] = []
@@ -391,7 +403,7 @@ WORDS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("len", "<i4
 def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
     """Rows that are sorted by kind and id, as ((kind, id), data of its rows)."""
     now, blobs = None, []
-    for b in batches:
+    for b in freed(batches):
         for *name, data in zip(*(c.to_pylist() for c in b.columns)):
             if name != now and blobs:
                 yield tuple(now), blobs
@@ -425,7 +437,7 @@ def clean(docs: DataFrame, width: int, gram: int, with_kept: bool = True) -> Dat
     fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), *[("kept", pa.string())] * with_kept, ("kept_sha256", pa.string())]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in freed(batches):
             rows: list[tuple] = []
             for row in zip(*b.columns):
                 ident, text, data = (x.as_py() for x in row)
