@@ -13,7 +13,6 @@ a shard are brought to it instead. `match_reference` is the form for a bounded r
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -34,6 +33,8 @@ HOT = 400
 #: Pieces of one key that one task may gather; keys with more are dealt out by piece. They are found in a sample of about
 #: so many pieces, of all texts alike; how a key is dealt changes no result.
 GATHER, SAMPLE = 100_000, 4_000_000
+#: Tasks into which shards are dealt; a task takes its shards one after the other.
+MOST_TASKS = 50_000
 
 PIECE = np.dtype([("key", "<u8"), ("seq", "<u8"), ("alt", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
 #: Two odd bases, one for each half of a piece's 128 bits.
@@ -145,17 +146,6 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
 
 
-def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what a worker no longer uses goes back to the system before the next one is read, as two workers and the JVM share an executor."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    for b in batches:
-        yield b
-        del b
-        pa.default_memory_pool().release_unused()
-        if trim:
-            trim(0)
-
-
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int8()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "id", "data"])
 
@@ -240,12 +230,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     shards = max(1, -(-size // SHARD_BYTES))
     every = np.uint64(max(1, size // 45 // SAMPLE))  # a piece comes with about 45 bytes of text
     gather = max(GATHER, 40 * int(every))
+    tasks = min(shards, MOST_TASKS)  # stated, so that adaptive execution does not put several shards into one task
 
     def marked(m: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         return rows_of(1, group_of(m["doc"], shards), m)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in freed(batches):
+        for b in batches:
             found = [pieces(i.as_py(), tokens(t.as_py()), width, gram) for i, t in zip(b.column(0), b.column(1))]  # one text at a time
             if not found:
                 continue
@@ -288,7 +279,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             yield batch_of(out)
 
     path2 = scratch(spark, "asked")
-    (own.mapInArrow(deal, ROW) if len(hot_keys) else own).repartition(F.col("id")).sortWithinPartitions("id").mapInArrow(sort_out, ROW).write.parquet(path2)
+    (own.mapInArrow(deal, ROW) if len(hot_keys) else own).repartition(tasks, F.col("id")).sortWithinPartitions("id").mapInArrow(sort_out, ROW).write.parquet(path2)
     stage2 = spark.read.parquet(path2)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +290,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
     asked = by_document(stage2.where("kind = 2"), ASK)
 
     def give_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in freed(batches):
+        for b in batches:
             p: list[np.ndarray] = []  # of each document: key, doc, start, number of words
             words: list[np.ndarray] = []
             single: list[np.ndarray] = []
@@ -367,7 +358,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
 
     worded = asked.join(texts, "id").select("id", "data", "text").mapInArrow(give_words, ROW)
     path3 = scratch(spark, "matched")
-    worded.repartition(F.col("kind"), F.col("id")).sortWithinPartitions("kind", "id").mapInArrow(match, ROW).write.parquet(path3)
+    worded.repartition(tasks, F.col("kind"), F.col("id")).sortWithinPartitions("kind", "id").mapInArrow(match, ROW).write.parquet(path3)
     marks = [x.where("kind = 1") for x in (stage1, stage2, spark.read.parquet(path3))]
     return by_document(marks[0].unionByName(marks[1]).unionByName(marks[2]), MARK), texts
 
@@ -403,7 +394,7 @@ WORDS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("len", "<i4
 def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
     """Rows that are sorted by kind and id, as ((kind, id), data of its rows)."""
     now, blobs = None, []
-    for b in freed(batches):
+    for b in batches:
         for *name, data in zip(*(c.to_pylist() for c in b.columns)):
             if name != now and blobs:
                 yield tuple(now), blobs
@@ -437,7 +428,7 @@ def clean(docs: DataFrame, width: int, gram: int, with_kept: bool = True) -> Dat
     fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), *[("kept", pa.string())] * with_kept, ("kept_sha256", pa.string())]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in freed(batches):
+        for b in batches:
             rows: list[tuple] = []
             for row in zip(*b.columns):
                 ident, text, data = (x.as_py() for x in row)
