@@ -14,7 +14,7 @@ a shard are brought to it instead. `match_reference` is the form for a bounded r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ HOT = 400
 GATHER, SAMPLE = 100_000, 4_000_000
 #: Tasks into which shards are dealt; a task takes its shards one after the other.
 MOST_TASKS = 50_000
+#: Words whose pieces a worker holds before it passes them on; one text may have more.
+HELD_WORDS = 1 << 20
 
 PIECE = np.dtype([("key", "<u8"), ("seq", "<u8"), ("alt", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2")])
 #: Two odd bases, one for each half of a piece's 128 bits.
@@ -210,7 +212,7 @@ class Automaton:
         return out
 
 
-def repeats(shard: list[tuple[int, int, int, np.ndarray]], width: int = WIDTH) -> Iterator[tuple[int, int]]:
+def repeats(shard: Iterable[tuple[int, int, int, np.ndarray]], width: int = WIDTH) -> Iterator[tuple[int, int]]:
     """(doc, start) of the repeated windows among distinct (key, doc, start, words), sorted; automata end between keys."""
     automaton, size, before = Automaton(), 0, None
     for key, doc, start, words in shard:
@@ -237,14 +239,23 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [pieces(i.as_py(), tokens(t.as_py()), width, gram) for i, t in zip(b.column(0), b.column(1))]  # one text at a time
-            if not found:
-                continue
-            p, first = firsts(np.concatenate(found))  # a repeat within the batch needs no shuffle
-            keys, n = np.unique(p["key"][first & (p["alt"] % every == 0)], return_counts=True)
-            sampled = np.empty(len(keys), COUNT)
-            sampled["key"], sampled["n"] = keys, n
-            yield batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first])), *rows_of(3, np.zeros(len(keys), np.int64), sampled)])
+            found, held = [], 0
+            for i, t in zip(b.column(0), b.column(1)):  # one text at a time
+                w = tokens(t.as_py())
+                found.append(pieces(i.as_py(), w, width, gram))
+                held += len(w)
+                if held >= HELD_WORDS:
+                    yield pieces_out(found)
+                    found, held = [], 0
+            if found:
+                yield pieces_out(found)
+
+    def pieces_out(found: list[np.ndarray]) -> pa.RecordBatch:
+        p, first = firsts(np.concatenate(found))  # a repeat among those held needs no shuffle
+        keys, n = np.unique(p["key"][first & (p["alt"] % every == 0)], return_counts=True)
+        sampled = np.empty(len(keys), COUNT)
+        sampled["key"], sampled["n"] = keys, n
+        return batch_of([*rows_of(0, (p["key"][first] % np.uint64(shards)).astype(np.int64), p[first]), *marked(marks_of(p["doc"][~first], p["start"][~first], p["n"][~first])), *rows_of(3, np.zeros(len(keys), np.int64), sampled)])
 
     path = scratch(spark, "pieces")
     docs.mapInArrow(cut_up, ROW).write.parquet(path)
@@ -294,12 +305,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
             p: list[np.ndarray] = []  # of each document: key, doc, start, number of words
             words: list[np.ndarray] = []
             single: list[np.ndarray] = []
+            held = 0
             for row in zip(*b.columns):
                 doc, data, text = (x.as_py() for x in row)
                 w = tokens(zstandard.decompress(text).decode("utf-8", "surrogatepass"))
-                sums, every = prefix_sums(w), unsqueeze(data, ASK)
+                sums, pieces_ = prefix_sums(w), unsqueeze(data, ASK)
                 for hot in (0, 1):
-                    q = every[every["hot"] == hot]
+                    q = pieces_[pieces_["hot"] == hot]
                     if not len(q):
                         continue
                     starts, lengths, keys = q["start"], q["n"] + np.int32(width - 1), q["key"]
@@ -311,29 +323,34 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
                     p.append(head)
                     single.append(np.full(len(head), bool(hot)))
                     words += [w[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist())]
-            if not p:
-                continue
-            head, one = np.concatenate(p), np.concatenate(single)
-            rank = np.lexsort((head["start"], head["doc"], head["key"], one))
-            same = (head["key"][rank][1:] == head["key"][rank][:-1]) & one[rank][1:] & one[rank][:-1]
-            repeated = rank[np.append(False, same)]  # a hot key's windows that an earlier row of the batch has too
-            rows = [*marked(marks_of(head["doc"][repeated], head["start"][repeated], 1))]
-            left = rank[~np.append(False, same)]
-            shard = (head["key"][left] % np.uint64(shards)).astype(np.int64)
-            left, shard = left[np.argsort(shard, kind="stable")], np.sort(shard)
-            cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)]):
-                of = left[x:y]
-                body = head[of].tobytes() + np.concatenate([words[i] for i in of.tolist()]).tobytes()
-                rows.append((0, int(shard[x]), zstandard.compress(np.int64(len(of)).tobytes() + body, 1)))
-            yield batch_of(rows)
+                    held += int(lengths.sum())
+                if held >= HELD_WORDS:
+                    yield words_out(np.concatenate(p), np.concatenate(single), words)
+                    p, words, single, held = [], [], [], 0
+            if p:
+                yield words_out(np.concatenate(p), np.concatenate(single), words)
+
+    def words_out(head: np.ndarray, one: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
+        rank = np.lexsort((head["start"], head["doc"], head["key"], one))
+        same = (head["key"][rank][1:] == head["key"][rank][:-1]) & one[rank][1:] & one[rank][:-1]
+        repeated = rank[np.append(False, same)]  # a hot key's windows that an earlier row has too
+        rows = [*marked(marks_of(head["doc"][repeated], head["start"][repeated], 1))]
+        left = rank[~np.append(False, same)]
+        shard = (head["key"][left] % np.uint64(shards)).astype(np.int64)
+        left, shard = left[np.argsort(shard, kind="stable")], np.sort(shard)
+        cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)]):
+            of = left[x:y]
+            body = head[of].tobytes() + np.concatenate([words[i] for i in of.tolist()]).tobytes()
+            rows.append((0, int(shard[x]), zstandard.compress(np.int64(len(of)).tobytes() + body, 1)))
+        return batch_of(rows)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, ident), blobs in by_id(batches):
             if kind == 1:
                 yield batch_of([(1, ident, x) for x in blobs])
                 continue
-            found: dict[tuple[int, bytes], tuple[int, int, np.ndarray]] = {}
+            found: dict[tuple[int, bytes], tuple[int, int]] = {}  # the words are held once, in the key
             docs_, starts = [], []
             for blob in blobs:
                 raw = zstandard.decompress(blob)
@@ -341,17 +358,18 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> t
                 words = np.frombuffer(raw, np.uint64, -1, 8 + n * WORDS.itemsize)
                 at = 0
                 for key, doc, start, length in np.frombuffer(raw, WORDS, n, 8).tolist():
-                    w = words[at : at + length]
+                    name = (key, words[at : at + length].tobytes())
                     at += length
-                    name = (key, w.tobytes())
-                    other = found.setdefault(name, (doc, start, w))
-                    if other[:2] != (doc, start):  # windows of a hot key: the first one stands for all
-                        if (doc, start) < other[:2]:
-                            found[name] = (doc, start, w)
-                            doc, start = other[:2]
+                    other = found.setdefault(name, (doc, start))
+                    if other != (doc, start):  # windows of a hot key: the first one stands for all
+                        if (doc, start) < other:
+                            found[name] = (doc, start)
+                            doc, start = other
                         docs_.append(doc)
                         starts.append(start)
-            for doc, start in repeats(sorted(((k[0], *v) for k, v in found.items()), key=lambda x: x[:3]), width):
+            ordered = sorted(((key, *place, w) for (key, w), place in found.items()), key=lambda x: x[:3])
+            del found
+            for doc, start in repeats(((*x[:3], np.frombuffer(x[3], np.uint64)) for x in ordered), width):
                 docs_.append(doc)
                 starts.append(start)
             yield batch_of([*marked(marks_of(np.array(docs_, np.int64), np.array(starts, np.int32), 1))])
