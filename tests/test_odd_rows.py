@@ -10,7 +10,7 @@ TEXTS = ["éles x", "lesé", "tables", "les_", "9des", "POUR", "a-les.", "les th
 ROWS = {"conversations": ([(k, 0, "user", x) for k, x in enumerate(TEXTS)], "conv_id long, turn long, role string, text string")}
 
 
-@pytest.mark.parametrize("name", ["lf_histogram", "lf_votes"])
+@pytest.mark.parametrize("name", ["lf_histogram", "lf_votes", "lf_routes"])
 def test_same_rows(spark, tmp_path, name):
     con = duckdb.connect()
     for t, (rows, schema) in ROWS.items():
