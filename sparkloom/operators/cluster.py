@@ -1,13 +1,14 @@
-"""K-Means with fixed rounds, and DBSCAN on a grid."""
+"""K-Means with fixed rounds, and DBSCAN on cells."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut, small
 from .graph import connected_components
 
 
@@ -54,26 +55,100 @@ def purity(df: DataFrame, cluster: str, truth: str) -> DataFrame:
     return crosstab(df, cluster, truth).groupBy(cluster).agg(F.sum("n").alias("n_rows"), F.max("n").alias("most")).select(cluster, F.col("n_rows").alias("n"), (F.col("most") / F.col("n_rows")).alias("purity"))
 
 
+def _gaps(limit: float) -> tuple[Column, Column]:
+    """Whether all points, or any, of two boxes (a_x0, a_x1, a_y0, a_y1 and b_...) can be in reach. Rounding is monotone, so both hold for the distances as they are computed."""
+    c = F.col
+    far = [F.greatest(c(f"b_{k}1") - c(f"a_{k}0"), c(f"a_{k}1") - c(f"b_{k}0")) for k in "xy"]
+    gap = [F.greatest(c(f"b_{k}0") - c(f"a_{k}1"), c(f"a_{k}0") - c(f"b_{k}1"), F.lit(0.0)) for k in "xy"]
+    return far[0] * far[0] + far[1] * far[1] <= limit, gap[0] * gap[0] + gap[1] * gap[1] <= limit
+
+
+def _boxes(points: DataFrame) -> DataFrame:
+    """(cx, cy, node, n, x0, x1, y0, y1): the points of each cell, with the least node among them."""
+    return points.groupBy("cx", "cy").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+
+
+def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """A row of df for each step, with cx and cy that many cells on."""
+    at = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in steps]))
+    return df.withColumn("_at", at).withColumn("cx", F.col("_at.cx")).withColumn("cy", F.col("_at.cy")).drop("_at")
+
+
+def _cell_links(cores: DataFrame, limit: float, few: int = 256) -> DataFrame:
+    """(node, component) of the nodes (one for each cell) whose cells hold points (node, x, y, u, v, cx, cy) in reach; no link of components is missing.
+
+    Boxes about the points of two cells decide most pairs: all in reach, or none. Others are cut into sixteen parts a cell, as often as
+    it takes, and points are compared where two parts have `few` pairs or fewer. Pairs of cells that are connected by now need no more.
+    """
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    boxes = cut(_boxes(cores))
+    sure, maybe = _gaps(limit)
+    a, b = _side(_around(boxes.withColumns({"ox": F.col("cx"), "oy": F.col("cy")}), ahead), "a"), _side(boxes, "b")
+    pairs = a.join(b, (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))).withColumns({"a_cx": F.col("a_ox"), "a_cy": F.col("a_oy")}).drop("a_ox", "a_oy")
+    edge = [F.col("a_node").alias("a"), F.col("b_node").alias("b")]
+    found = cut(pairs.where(maybe).withColumn("sure", sure))
+    edges, level = found.where("sure").select(*edge), 0
+    while True:
+        points = cores.withColumns({"cx": F.floor(F.col("u") * 4.0**level), "cy": F.floor(F.col("v") * 4.0**level)}).select("cx", "cy", "node", "x", "y")
+        count = F.col("a_n") * F.col("b_n") if level < 26 else F.lit(0)  # beyond the last bit: parts hold equal points only
+        few_pairs = found.where(~F.col("sure") & (count <= few)).select("a_cx", "a_cy", "b_cx", "b_cy")
+        near = few_pairs.join(_side(points, "a"), ["a_cx", "a_cy"]).join(_side(points, "b"), ["b_cx", "b_cy"])
+        close = _reach(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"), limit)
+        edges = cut(edges.unionByName(near.where(close).select(*edge)).distinct())
+        comp, left = connected_components(edges), found.where(~F.col("sure") & (count > few))
+        if not left.limit(1).count():
+            return comp
+        of = lambda c: comp.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_comp"))
+        apart = F.coalesce("a_comp", "a_node") != F.coalesce("b_comp", "b_node")
+        left = cut(left.join(of("a"), "a_node", "left").join(of("b"), "b_node", "left").where(apart).select(*[F.col(f"{c}_c{k}").alias(f"{c}_p{k}") for c in "ab" for k in "xy"]))
+        if not left.limit(1).count():
+            return comp
+        level += 1
+        finer = cores.withColumns({"cx": F.floor(F.col("u") * 4.0**level), "cy": F.floor(F.col("v") * 4.0**level)}).withColumns({"px": F.floor(F.col("cx") / 4), "py": F.floor(F.col("cy") / 4)})
+        wanted = left.select(F.col("a_px").alias("px"), F.col("a_py").alias("py")).union(left.select("b_px", "b_py")).distinct()
+        parts = cut(_boxes(finer.join(wanted, ["px", "py"], "left_semi")).withColumns({"px": F.floor(F.col("cx") / 4), "py": F.floor(F.col("cy") / 4)}))
+        found = cut(left.join(_side(parts, "a"), ["a_px", "a_py"]).join(_side(parts, "b"), ["b_px", "b_py"]).where(maybe).withColumn("sure", sure))
+        edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.where("sure").select(*edge))
+
+
+def _reach(ax: Column, ay: Column, bx: Column, by: Column, limit: float) -> Column:
+    return (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= limit
+
+
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 1.5, least: int = 5) -> DataFrame:
-    """(key, cluster): cluster is the least core point's key, -1 noise. A border point joins the least cluster in reach.
+    """(key, cluster): cluster is the least core point's key, -1 noise. A border point joins the least cluster in reach. Keys are unique.
 
-    Points fall into grid cells of size eps, so neighbours lie in nine cells: an equi-join and a distance filter.
+    Points fall into cells so small that all points of a cell are in reach of each other. So where a cell has `least` points all of them are core,
+    and only points of emptier cells are compared with their surroundings: fewer than 24 * least for each point, however
+    many it has in reach. Core points of a cell are in one cluster, so that clusters are components of cells. Equal points are one. Points
+    without both coordinates, or with infinite ones, are noise; coordinates beyond 2^40 cells are an error.
     """
+    side, limit = eps / 1.5, eps * eps
     p = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cell = p.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
-    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = cell.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("c")).select("a", "ax", "ay", "c.cx", "c.cy")
-    close = F.pow(F.col("ax") - F.col("x"), F.lit(2)) + F.pow(F.col("ay") - F.col("y"), F.lit(2)) <= eps * eps
-    near = spread.join(cell, ["cx", "cy"]).where(close).select("a", F.col("id").alias("b"))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
-    from_core = near.join(core, "a")
-    links = from_core.join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
-    comp = connected_components(links)
-    roots = core.join(comp.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    border = near.join(roots, "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("reach"))
-    own = roots.withColumnRenamed("a", "id")
-    j = p.select("id").join(own, "id", "left").join(border, "id", "left")
-    return j.select(F.col("id").alias(key), F.coalesce("cluster", "reach", F.lit(-1)).cast("bigint").alias("cluster"))
+    finite = (F.abs("x") < math.inf) & (F.abs("y") < math.inf)
+    spot = p.where(finite).groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    unit = lambda c: F.when(F.abs(F.col(c) / side) < 2.0**40, F.col(c) / side).otherwise(F.raise_error(F.lit(f"{c} is beyond 2^40 cells")).cast("double"))
+    spot = cut(spot.withColumns({"u": unit("x"), "v": unit("y")}).withColumns({"cx": F.floor("u"), "cy": F.floor("v")}))
+    full = small(spot.groupBy("cx", "cy").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("cx", "cy"))
+    dense, sparse = spot.join(full, ["cx", "cy"], "left_semi"), cut(spot.join(full, ["cx", "cy"], "left_anti"))
+    ring = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    looking = lambda d: small(_around(d.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"), ring))
+    close = _reach(F.col("ax"), F.col("ay"), F.col("x"), F.col("y"), limit)
+    counts = spot.join(looking(sparse), ["cx", "cy"]).where(close).groupBy(F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("n").alias("m"))
+    more = counts.where(F.col("m") >= least).select("x", "y")
+    core = cut(dense.unionByName(sparse.join(more, ["x", "y"], "left_semi")).where("id IS NOT NULL"))
+    nodes = small(core.groupBy("cx", "cy").agg(F.min("id").alias("node")))
+    cores = cut(core.join(nodes, ["cx", "cy"]).select("node", "x", "y", "u", "v", "cx", "cy"))
+    comp = _cell_links(cores, limit)
+    own = cut(cores.join(small(comp), "node", "left").select("x", "y", "cx", "cy", F.coalesce("component", "node").alias("cluster")))
+    rest = sparse.join(own.select("x", "y"), ["x", "y"], "left_anti")
+    border = own.join(looking(rest), ["cx", "cy"]).where(close).groupBy(F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min("cluster").alias("cluster"))
+    j = p.join(own.select("x", "y", "cluster").unionByName(border), ["x", "y"], "left")
+    return j.select(F.col("id").alias(key), F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.coalesce("cluster", F.lit(-1))).cast("bigint").alias("cluster"))
 
 
 def crosstab(df: DataFrame, cluster: str, truth: str) -> DataFrame:
