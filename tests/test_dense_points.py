@@ -54,3 +54,10 @@ def test_many_in_reach(spark):
     dots = spark.range(200_000).select("id", (F.rand(3) * 0.9).alias("x"), (F.rand(4) * 0.9).alias("y"))
     got = C.dbscan(dots, "id", "x", "y").groupBy("cluster").count().collect()
     assert [(r["cluster"], r["count"]) for r in got] == [(0, 200_000)]
+
+
+def test_crosstab_of_many(spark):
+    """Clusters and kinds of 200,000 points, half of them within reach of one another and half elsewhere."""
+    dots = spark.range(200_000).select("id", (F.rand(3) * 0.9 + F.col("id") % 2 * 50).alias("x"), (F.rand(4) * 0.9).alias("y"), (F.col("id") % 4).alias("kind"))
+    got = C.crosstab(C.dbscan(dots, "id", "x", "y").join(dots.select("id", "kind"), "id"), "cluster", "kind").collect()
+    assert {(r["cluster"], r["kind"]): r["n"] for r in got} == {(0, 0): 50_000, (1, 1): 50_000, (0, 2): 50_000, (1, 3): 50_000}
