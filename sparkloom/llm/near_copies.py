@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands find candidates, the shingle sets themselves decide."""
+"""Near copies by word shingles: SimHash fingerprints and MinHash bands find candidates, the shingle sets themselves decide."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import cut
-from .simhash import keep_least
+from .simhash import BITS, keep_least, links
 
 WIDTH, SIMILAR = 5, 0.8
 #: Bands of MinHash values and values a band: a pair at similarity 0.8 has no band in common with probability 3e-7.
@@ -53,20 +53,29 @@ def band_keys(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(low[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a shingle set: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.frombuffer(np.packbits(ones * 2 > len(hashes)).tobytes(), ">i8")[0])
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, keys): a digest of the shingle set, and the keys of its bands."""
+    """(doc_id, same, keys, fp): a digest of the shingle set, the keys of its bands, and its fingerprint (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = multipliers()
         for b in batches:
-            same, keys = [], []
+            same, keys, fps = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_set(t)
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 keys.append(band_keys(h, odd) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"])
+                fps.append(set_fingerprint(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["doc_id", "same", "keys", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, same binary, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, same binary, keys array<bigint>, fp bigint")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -96,6 +105,20 @@ def candidates(shared: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars.where("a < b")).distinct()
 
 
+def simhash_candidates(reps: DataFrame) -> DataFrame:
+    """(a, b), a < b, of reps (rep, fp): operator 8's links of fingerprints that differ in 2 bits or fewer; of equal ones each with the least rep."""
+    hubs = cut(reps.where("fp IS NOT NULL").groupBy("fp").agg(F.min("rep").alias("hub")))
+    equal = reps.join(hubs, "fp").where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    return links(hubs.select("fp", F.col("hub").alias("rep"))).unionByName(equal)
+
+
+def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(a, b) of pairs whose components (node, component) differ."""
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b").distinct()
+
+
 def open_members(shared: DataFrame, components: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(id, component) of the members of larger buckets that the comparisons so far left in several components."""
     large = shared.where(F.col("n") > bucket).select("key", "rep")
@@ -200,21 +223,28 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id reachable over pairs at Jaccard similarity SIMILAR of five-word shingles.
 
-    Equal sets are one node before any join; texts without words form one group. Of a bucket of over `bucket` members each is
+    Equal sets are one node before any join; texts without words form one group. SimHash fingerprints of the sets link what differs in 2 of
+    64 bits; at similarity SIMILAR some 10 bits differ, beyond what their index reaches, so MinHash bands add candidates. All are verified: of a fingerprint's links the one with
+    the least id at once, the others if they are between components by then. Of a bucket of over `bucket` members each is
     compared with two of them; if that leaves it in several components, the pairs across these are joined on rare shingles. Rows without doc_id get the component
     of equal sets, or null if there is no id in it.
     """
     found = cut(sketches(docs))
-    nodes = cut(found.groupBy("same").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")))
+    nodes = cut(found.groupBy("same").agg(F.min_by("keys", "doc_id").alias("keys"), F.min_by("fp", "doc_id").alias("fp"), F.min("doc_id").alias("rep")))
     shared = buckets(nodes.where("rep IS NOT NULL").select("rep", "keys"))
-    pairs = cut(candidates(shared, bucket))
+    printed = cut(simhash_candidates(nodes.where("rep IS NOT NULL").select("rep", "fp")))
+    nearest = printed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = cut(candidates(shared, bucket).unionByName(nearest).distinct())
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    links = connected_components(similar(pairs, texts))
-    members = cut(open_members(shared, links, bucket))
+    joined = connected_components(similar(pairs, texts))
+    members = cut(open_members(shared, joined, bucket))
+    rest = cut(apart(printed, joined).join(pairs, ["a", "b"], "left_anti"))
     if members.limit(1).count():
-        more = similar(cut(open_pairs(members, texts)), texts)
-        links = connected_components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    roots = nodes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+        rest = cut(rest.unionByName(open_pairs(members, texts)).distinct())
+    if rest.limit(1).count():
+        more = similar(rest, texts)
+        joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    roots = nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "same").join(roots, "same").select("doc_id", "component_id")
 
 
