@@ -19,8 +19,6 @@ CORNERS, AREA, RADIUS, ANGLES, BITS = (24, 20), 270, 9, 32, 128
 #: A match: one half of the bits equal and at most so many others not. A copy: so many matches or more that agree on turn, size and
 #: shift: positions within this many pixels, orientations within this many levels, sizes within a factor of 1.5 of the octaves'.
 NEAR, VOTES, TOLERANCE, TURN = 12, 4, 3.0, 2
-#: Nodes that share a key and of which all pairs are matched; of more, each is matched with the least and the greatest one.
-HOT = 64
 
 def pattern(seed: int = 3) -> np.ndarray:
     """(ANGLES, BITS, 2 points, y and x): pairs of points near the centre, turned by each angle."""
@@ -144,12 +142,13 @@ def descriptors(images: DataFrame, block: int = 64) -> DataFrame:
     return images.select("node", "image").mapInArrow(run, DESCRIPTOR)
 
 
-def matches(found: DataFrame, hot: int = HOT) -> DataFrame:
+def matches(found: DataFrame, hot: int | None = None) -> DataFrame:
     """(a, b, ap, bp), a < b: corners of different images, of any scale and orientation, that share a half of their descriptors, and nearly the other.
 
     Each half is the key of one Hamming table; an equality join finds the candidates and the bit count of the other half
-    verifies them. Halves of 64 bits keep chance collisions rare: four quarters gave 6,000 times as many candidates. A
-    descriptor that more than `hot` images share (a mark in all of them) is matched in a star, so that it costs no square.
+    verifies them. Halves of 64 bits keep chance collisions rare: four quarters gave 6,000 times as many candidates. All pairs
+    are matched, so a descriptor that very many images share (a mark in all of them) costs the square of their number. With `hot`,
+    a descriptor that more images share is matched in a star only, which loses links; no query does that.
     """
     other_table = F.lit(0x5BF03635D1B54A33)
     tables = F.array(F.struct(F.col("d0").alias("key"), F.col("d1").alias("other")), F.struct(F.col("d1").bitwiseXOR(other_table).alias("key"), F.col("d0").bitwiseXOR(other_table).alias("other")))
@@ -157,13 +156,17 @@ def matches(found: DataFrame, hot: int = HOT) -> DataFrame:
     rows = rows.repartition("key").distinct()  # copies from other batches; the counts and the joins need no other shuffle
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("end")).where("hub < end")
     shared = cut(rows.join(sizes, "key"))
+    small = F.col("a") < F.col("b")
+    near = lambda d: d.where(F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= NEAR).select("a", "b", "ap", "bp")
     side = lambda d, c: d.select("key", F.col("other").alias(f"{c}o"), F.col("node").alias(c), F.col("pos").alias(f"{c}p"))
-    few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
+    few = shared if hot is None else shared.where(F.col("n") <= hot)
+    pairs = side(few, "a").join(side(few, "b"), "key").where(small).select("a", "ao", "ap", "b", "bo", "bp")
+    if hot is None:
+        return near(pairs)
+    many = shared.where(F.col("n") > hot)
     star = side(many.where("node = hub OR node = end"), "a").join(side(many, "b"), "key").where("a <> b")
-    small = F.col("a") < F.col("b")
     turned = [F.when(small, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("ao", "bo"), ("ap", "bp"), ("b", "a"), ("bo", "ao"), ("bp", "ap"))]
-    pairs = side(few, "a").join(side(few, "b"), "key").where(small).select("a", "ao", "ap", "b", "bo", "bp").unionByName(star.select(*turned))
-    return pairs.where(F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= NEAR).select("a", "b", "ap", "bp")
+    return near(pairs.unionByName(star.select(*turned)))
 
 
 def agree(ap: np.ndarray, bp: np.ndarray) -> bool:
@@ -203,8 +206,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     bytes, n_links the number of other, not equal, images linked to these bytes. Null, undecodable, tiny and flat images have no
     corners: only equal bytes bring them together, and nulls stay alone. Repeated rows are kept. Rows without
     image_id get the class of equal bytes, or null if there is no id in it. An empty table gives an empty result; other
-    columns of images are not read. Descriptors that more than HOT images share link in stars, so of such a group n_links
-    counts the links that were looked at.
+    columns of images are not read.
     """
     node = F.coalesce(F.conv(F.substring(F.sha2("image", 256), 1, 15), 16, 10).cast("bigint"), -1 - F.abs(F.xxhash64("image_id")))
     base = images.select(F.col("image_id").cast("bigint").alias("image_id"), "image").withColumn("node", node)

@@ -71,6 +71,14 @@ def test_shared_mark(spark):
     assert media.consensus(media.matches(found, hot=4)).select(F.explode(F.array("a", "b")).alias("x")).distinct().count() == 40
 
 
+def test_shared_mark_loses_no_link(spark):
+    """Seventy copies of one picture, each on a ground of its own size: every two of them are linked, and each counts all others."""
+    g = pictures(1)[0]
+    images = [(k, media.encode(np.pad(g, ((0, k % 7), (0, k // 7))))) for k in range(70)]
+    got = media.image_copies(spark.createDataFrame(images, "image_id long, image binary")).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 69)} and len(got) == 70
+
+
 def test_rows_without_id(spark):
     g = media.encode(pictures(1)[0])
     d = spark.createDataFrame([(1, g), (None, g), (None, None), (1, g), (2, None)], "image_id long, image binary").withColumn("class_id", F.lit(9)).withColumn("node", F.lit("x"))
