@@ -107,6 +107,30 @@ def candidates(banded: DataFrame, key: str) -> DataFrame:
     return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
 
 
+def minhash_pairs(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
+    """(a, b) as candidates(bands(minhash(df))) has them; exact. Rows without shingles have equal signatures, so each two of them are a pair.
+
+    A band in common needs equal minima, and so shingles that both rows have. So signatures of shingles that several rows have are made
+    first: where these minima differ in a place, the whole ones do not agree there. Only rows that share a band of these get whole signatures.
+    """
+    hashed = lambda d: d.withColumn("h", F.xxhash64("shingle"))
+    rows = cut(hashed(shingle_rows(df, key, text, k)))
+    common = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    first = signatures(rows.join(common, "h", "left_semi"), key)
+    near = candidates(cut(bands(first, key)), key)
+    wanted = cut(near.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+    whole = signatures(rows.join(wanted, key, "left_semi"), key)
+    none = cut(df.select(key).join(rows.select(key), key, "left_anti").distinct())
+    empty = none.select(F.col(key).alias("a")).crossJoin(none.select(F.col(key).alias("b"))).where("a < b")
+    return candidates(cut(bands(whole, key)), key).unionByName(empty)
+
+
+def signatures(rows: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """(key, signature) of rows (key, shingle): minhash of rows that have shingles."""
+    salted = [F.min(F.sha1(F.concat(F.lit(f"{i}_"), F.col("shingle")).cast("binary"))).alias(f"m{i}") for i in range(n)]
+    return rows.groupBy(key).agg(*salted).select(key, F.array(*[F.col(f"m{i}") for i in range(n)]).alias("signature"))
+
+
 def set_bands(sets: DataFrame, n: int = 20, rows: int = 5) -> DataFrame:
     """(id, band, bucket) of (id, set): minima of n * rows affine maps of the hashes, found within the row; a bucket is a 64-bit hash of its band's minima."""
     a = [(i * 1_103_515_245 + 12_345) % (PRIME - 1) + 1 for i in range(1, n * rows + 1)]

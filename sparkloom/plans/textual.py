@@ -155,7 +155,7 @@ SELECT k AS p_partkey, last[length(b) + 1]::BIGINT AS distance FROM o WHERE i =
         f"WITH {SHG('benchmark', 'item_id', 3)}, {SIG('sh')} SELECT x.id AS a, y.id AS b, round(len(list_filter(range(1, 101), lambda i: x.sig[i] = y.sig[i])) / 100.0::DOUBLE, 6) AS agreement FROM sg x, sg y WHERE x.id % 100 = 0",
     ),
     "lsh_pairs": (
-        lambda s, d: D.candidates(D.bands(D.minhash(distinct_texts(s, d), "id", "text"), "id"), "id"),
+        lambda s, d: D.minhash_pairs(distinct_texts(s, d), "id", "text"),
         f"WITH {DISTINCT}, {SHG('texts', 'id', 3)}, {SIG('sh')}, bd AS (SELECT id, b, array_to_string(sig[b * 5 + 1:b * 5 + 5], '|') AS k FROM sg, range(20) r(b)) SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id",
     ),
     "lsh_verified": (lambda s, d: D.lsh_similar(t(s, d, "documents"), "doc_id", "text", members=True).select("a", "b", *R6("jaccard")), JACCARD),

@@ -7,10 +7,12 @@ import pytest
 from test_oracle import ALL, rows_of
 
 TEXTS = ["éles x", "lesé", "tables", "les_", "9des", "POUR", "a-les.", "les thing?", "thing d’éles und des", "", None]
-ROWS = {"conversations": ([(k, 0, "user", x) for k, x in enumerate(TEXTS)], "conv_id long, turn long, role string, text string")}
+LONG = " ".join(f"word{k}" for k in range(60))
+DOCS = [LONG, LONG + " more", LONG.replace("word30", "else"), "two words", "one", "", None, "a b c", "A b c.", LONG, " ".join(f"other{k}" for k in range(40))]
+ROWS = {"documents": ([(k, x) for k, x in enumerate(DOCS)], "doc_id long, text string"), "conversations": ([(k, 0, "user", x) for k, x in enumerate(TEXTS)], "conv_id long, turn long, role string, text string")}
 
 
-@pytest.mark.parametrize("name", ["lf_histogram", "lf_votes", "lf_routes"])
+@pytest.mark.parametrize("name", ["lf_histogram", "lf_votes", "lf_routes", "lsh_pairs"])
 def test_same_rows(spark, tmp_path, name):
     con = duckdb.connect()
     for t, (rows, schema) in ROWS.items():
