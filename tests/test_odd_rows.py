@@ -40,3 +40,8 @@ def dotted(spark, folder, name):
 def test_dotted_votes(spark, tmp_path):
     got, want = dotted(spark, tmp_path, "lf_votes")
     assert got == want
+
+
+def test_dotted_routes(spark, tmp_path):
+    got, want = dotted(spark, tmp_path, "lf_routes")
+    assert got == want
