@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,40 @@ def _gaps(limit: float) -> tuple[Column, Column]:
 
 
 def _boxes(points: DataFrame) -> DataFrame:
-    """(cx, cy, node, n, x0, x1, y0, y1): the points of each cell, with the least node among them."""
-    return points.groupBy("cx", "cy").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    """(cx, cy, node, n, x0, x1, y0, y1, rim): the points of each cell, with the least node among them; rim holds four of them, one at each side."""
+    rim = F.array(*[f(F.struct("x", "y")) for f in (F.min, F.max)], *[F.struct(f(F.struct("y", "x"))["x"].alias("x"), f(F.struct("y", "x"))["y"].alias("y")) for f in (F.min, F.max)])
+    return points.groupBy("cx", "cy").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), rim.alias("rim"))
+
+
+def _touch(limit: float) -> Column:
+    """Whether two of the points in a_rim and b_rim are in reach."""
+    return F.exists("a_rim", lambda p: F.exists("b_rim", lambda q: _reach(p["x"], p["y"], q["x"], q["y"], limit)))
+
+
+def _components(edges: DataFrame, few: int = 200_000) -> DataFrame:
+    """connected_components; so few edges go through one task, as the rounds of jobs would cost far more than that."""
+    if edges.limit(few + 1).count() > few:
+        return connected_components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, kind = {}, None
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a is not None and b is not None and a != b:
+                    p, q = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+                    up[max(p, q)] = min(p, q)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], names=["node", "component"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return cut(edges.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}"))
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -81,12 +115,13 @@ def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
 def _cell_links(cores: DataFrame, limit: float, few: int = 256) -> DataFrame:
     """(node, component) of the nodes (one for each cell) whose cells hold points (node, x, y, u, v, cx, cy) in reach; no link of components is missing.
 
-    Boxes about the points of two cells decide most pairs: all in reach, or none. Others are cut into sixteen parts a cell, as often as
+    Boxes about the points of two cells, and the points at their sides, decide most pairs: some are in reach, or none. Others are cut into sixteen parts a cell, as often as
     it takes, and points are compared where two parts have `few` pairs or fewer. Pairs of cells that are connected by now need no more.
     """
     ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
     boxes = cut(_boxes(cores))
     sure, maybe = _gaps(limit)
+    sure = sure | _touch(limit)
     a, b = _side(_around(boxes.withColumns({"ox": F.col("cx"), "oy": F.col("cy")}), ahead), "a"), _side(boxes, "b")
     pairs = a.join(b, (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))).withColumns({"a_cx": F.col("a_ox"), "a_cy": F.col("a_oy")}).drop("a_ox", "a_oy")
     edge = [F.col("a_node").alias("a"), F.col("b_node").alias("b")]
@@ -99,7 +134,7 @@ def _cell_links(cores: DataFrame, limit: float, few: int = 256) -> DataFrame:
         near = few_pairs.join(_side(points, "a"), ["a_cx", "a_cy"]).join(_side(points, "b"), ["b_cx", "b_cy"])
         close = _reach(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"), limit)
         edges = cut(edges.unionByName(near.where(close).select(*edge)).distinct())
-        comp, left = connected_components(edges), found.where(~F.col("sure") & (count > few))
+        comp, left = _components(edges), found.where(~F.col("sure") & (count > few))
         if not left.limit(1).count():
             return comp
         of = lambda c: comp.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_comp"))

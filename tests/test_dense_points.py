@@ -61,3 +61,23 @@ def test_crosstab_of_many(spark):
     dots = spark.range(200_000).select("id", (F.rand(3) * 0.9 + F.col("id") % 2 * 50).alias("x"), (F.rand(4) * 0.9).alias("y"), (F.col("id") % 4).alias("kind"))
     got = C.crosstab(C.dbscan(dots, "id", "x", "y").join(dots.select("id", "kind"), "id"), "cluster", "kind").collect()
     assert {(r["cluster"], r["kind"]): r["n"] for r in got} == {(0, 0): 50_000, (1, 1): 50_000, (0, 2): 50_000, (1, 3): 50_000}
+
+
+def test_few_jobs(spark):
+    """Noise that fills all cells, as the larger customer tables do: sides decide which cells touch, in one task, so that few jobs run."""
+    dots = spark.range(60_000).select("id", (F.rand(3) * 12).alias("x"), (F.rand(4) * 12).alias("y")).localCheckpoint()
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        got = C.dbscan(dots, "id", "x", "y").groupBy("cluster").count().collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r["cluster"], r["count"]) for r in got] == [(0, 60_000)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 90
+
+
+def test_components_in_one_task(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(None, 1), (7, 7), (2, None)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    assert sorted(C._components(edges).collect()) == sorted(C.connected_components(edges).collect()) == sorted(C._components(edges, few=0).collect())
+    assert C._components(edges.limit(0)).count() == 0
