@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..session import small
 from .common import cut
 
 #: Least corners kept at full and at half size, and pixels for each more; radius of the patch; levels of orientation; bits of a descriptor.
@@ -19,6 +20,9 @@ CORNERS, AREA, RADIUS, ANGLES, BITS = (24, 20), 270, 9, 32, 128
 #: A match: one half of the bits equal and at most so many others not. A copy: so many matches or more that agree on turn, size and
 #: shift: positions within this many pixels, orientations within this many levels, sizes within a factor of 1.5 of the octaves'.
 NEAR, VOTES, TOLERANCE, TURN = 12, 4, 3.0, 2
+#: Rows of a key up to which they are joined with each other; common keys of an image up to which two are combined.
+FEW, WIDE = 16, 128
+
 
 def pattern(seed: int = 3) -> np.ndarray:
     """(ANGLES, BITS, 2 points, y and x): pairs of points near the centre, turned by each angle."""
@@ -142,13 +146,42 @@ def descriptors(images: DataFrame, block: int = 64) -> DataFrame:
     return images.select("node", "image").mapInArrow(run, DESCRIPTOR)
 
 
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of images of which matches lie at VOTES or more corners of a, and few others; shared: key, other, node, pos and n, the rows of the key.
+
+    Corners of one look are common, so pairs of images that match at a single corner grow with the square of the images; they are never
+    kept, and never made of keys with over FEW rows. If two of the VOTES corners match by keys with FEW rows or fewer, joining those rows shows
+    it. Otherwise three or more match by common keys, and as these are dealt to two bins, two of the three have keys in one bin: images are joined on
+    two such keys at once. Combinations that the same images have are joined once. Images with over WIDE common keys would
+    have too many combinations, so they are joined on each common key.
+    """
+    assert VOTES >= 4
+    side = lambda d, c: d.select("key", F.col("other").alias(f"{c}o"), F.col("node").alias(c), F.col("pos").alias(f"{c}p"))
+    small_near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= NEAR)
+    rare, often = shared.where(F.col("n") <= FEW), cut(shared.where(F.col("n") > FEW))
+    wide = small(often.groupBy("node").agg(F.count("*").alias("f")).where(F.col("f") > WIDE).select("node"))
+    broad, narrow = often.join(wide, "node", "left_semi"), often.join(wide, "node", "left_anti")
+    both = side(rare, "a").join(side(rare, "b"), "key").where(small_near)
+    for x, y in ((broad, often), (narrow, broad)):
+        both = both.unionByName(side(x, "a").join(side(y, "b"), "key").where(small_near))
+    direct = both.groupBy("a", "b").agg(F.min("ap").alias("first"), F.max("ap").alias("last")).where("first < last").select("a", "b")
+    part = lambda i: narrow.select("node", F.pmod(F.xxhash64("key"), F.lit(2)).alias("bin"), F.col("key").alias(f"k{i}"), F.col("pos").alias(f"p{i}"))
+    sets = part(1).join(part(2), ["node", "bin"]).where("k1 < k2 OR (k1 = k2 AND p1 <= p2)")
+    sets = cut(sets.groupBy("node", F.xxhash64("k1", "k2").alias("key")).agg(F.max(F.expr("p1 <> p2")).alias("two")))
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node", "two")).alias(f"s{seed}")
+    held = sets.groupBy("key").agg(F.min(F.when(F.col("two"), F.col("node"))).alias("hub"), F.max("node").alias("end"), F.count("*").alias("n"), mark(1), mark(2)).where("hub < end")
+    once = cut(sets.join(held.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key"))
+    pair = once.where("two").select("key", F.col("node").alias("a")).join(once.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    return cut(direct.unionByName(pair).distinct())
+
+
 def matches(found: DataFrame, hot: int | None = None) -> DataFrame:
     """(a, b, ap, bp), a < b: corners of different images, of any scale and orientation, that share a half of their descriptors, and nearly the other.
 
-    Each half is the key of one Hamming table; an equality join finds the candidates and the bit count of the other half
-    verifies them. Halves of 64 bits keep chance collisions rare: four quarters gave 6,000 times as many candidates. All pairs
-    are matched, so a descriptor that very many images share (a mark in all of them) costs the square of their number. With `hot`,
-    a descriptor that more images share is matched in a star only, which loses links; no query does that.
+    Each half is the key of one Hamming table; an equality join finds the matches and the bit count of the other half
+    verifies them. Halves of 64 bits keep chance collisions rare: four quarters gave 6,000 times as many candidates. Matches
+    are made for the `candidates` only, for these all of them, so that pairs of images that cannot have VOTES corners in common make no rows here. With `hot`,
+    all matches are made, but a descriptor that more images share is matched in a star only, which loses links; no query does that.
     """
     other_table = F.lit(0x5BF03635D1B54A33)
     tables = F.array(F.struct(F.col("d0").alias("key"), F.col("d1").alias("other")), F.struct(F.col("d1").bitwiseXOR(other_table).alias("key"), F.col("d0").bitwiseXOR(other_table).alias("other")))
@@ -156,16 +189,15 @@ def matches(found: DataFrame, hot: int | None = None) -> DataFrame:
     rows = rows.repartition("key").distinct()  # copies from other batches; the counts and the joins need no other shuffle
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("end")).where("hub < end")
     shared = cut(rows.join(sizes, "key"))
-    small = F.col("a") < F.col("b")
+    less = F.col("a") < F.col("b")
     near = lambda d: d.where(F.bit_count(F.col("ao").bitwiseXOR(F.col("bo"))) <= NEAR).select("a", "b", "ap", "bp")
     side = lambda d, c: d.select("key", F.col("other").alias(f"{c}o"), F.col("node").alias(c), F.col("pos").alias(f"{c}p"))
-    few = shared if hot is None else shared.where(F.col("n") <= hot)
-    pairs = side(few, "a").join(side(few, "b"), "key").where(small).select("a", "ao", "ap", "b", "bo", "bp")
     if hot is None:
-        return near(pairs)
-    many = shared.where(F.col("n") > hot)
+        return near(side(shared, "a").join(small(candidates(shared)), "a").join(side(shared, "b"), ["key", "b"]))
+    few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
+    pairs = side(few, "a").join(side(few, "b"), "key").where(less).select("a", "ao", "ap", "b", "bo", "bp")
     star = side(many.where("node = hub OR node = end"), "a").join(side(many, "b"), "key").where("a <> b")
-    turned = [F.when(small, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("ao", "bo"), ("ap", "bp"), ("b", "a"), ("bo", "ao"), ("bp", "ap"))]
+    turned = [F.when(less, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("ao", "bo"), ("ap", "bp"), ("b", "a"), ("bo", "ao"), ("bp", "ap"))]
     return near(pairs.unionByName(star.select(*turned)))
 
 

@@ -84,3 +84,31 @@ def test_rows_without_id(spark):
     d = spark.createDataFrame([(1, g), (None, g), (None, None), (1, g), (2, None)], "image_id long, image binary").withColumn("class_id", F.lit(9)).withColumn("node", F.lit("x"))
     got = sorted(((r["image_id"] or 0, r["class_id"], r["n_links"]) for r in media.image_copies(d).collect()), key=str)
     assert got == sorted([(1, 1, 0), (0, 1, 0), (0, None, 0), (1, 1, 0), (2, 2, 0)], key=str)
+
+
+def test_one_common_corner(spark):
+    """Three hundred pictures of which each two share one corner, or two corners in a few, make no pairs: before 44,850 matches or more."""
+    rows = [(k, 5, 1, 2) for k in range(300)] + [(k, 9, 100 + k, 200 + k) for k in range(300)] + [(k, 7, 3, 4) for k in range(20)]
+    m = media.matches(spark.createDataFrame(rows, media.DESCRIPTOR))
+    assert m.select("a", "b").distinct().count() <= 20 * 19 / 2
+
+
+@pytest.mark.parametrize(("few", "wide"), [(16, 128), (2, 128), (2, 6), (0, 0), (0, 1000)])
+def test_candidates_lose_nothing(spark, monkeypatch, few, wide):
+    """All matches of each two images that match at VOTES corners or more, against brute force; keys that repeat in an image, halves that are near."""
+    monkeypatch.setattr(media, "FEW", few)
+    monkeypatch.setattr(media, "WIDE", wide)
+    rng = np.random.default_rng(few + wide)
+    half = lambda: int(rng.integers(0, 9)) * 0x0101010101010101
+    rows = {(n, int(p), half(), half()) for n in range(30) for p in rng.integers(0, 50, rng.integers(2, 14))}
+    rows |= {(n, p, 99, 99) for n in (40, 41) for p in range(4 if n == 40 else 1)} | {(n, p, 77, 77) for n in (50, 51) for p in range(1 if n == 50 else 4)}
+    want: dict = {}
+    for a, p, c, d in rows:
+        for b, q, e, f in rows:
+            if a < b and ((c == e and (d ^ f).bit_count() <= media.NEAR) or (d == f and (c ^ e).bit_count() <= media.NEAR)):
+                want.setdefault((a, b), set()).add((p, q))
+    got: dict = {}
+    for r in media.matches(spark.createDataFrame(sorted(rows), media.DESCRIPTOR)).collect():
+        got.setdefault((r["a"], r["b"]), set()).add((r["ap"], r["bp"]))
+    linked = {k: v for k, v in want.items() if len({p for p, _ in v}) >= media.VOTES}
+    assert 5 <= len(linked) < len(want) and (40, 41) in linked and {k: got.get(k) for k in linked} == linked and all(want[k] == v for k, v in got.items())
