@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +16,10 @@ from ..functions.numbers import ratio
 from ..session import cut
 
 PRIME = (1 << 31) - 1
+#: Shingles that are hashed side by side: with fewer, numpy's calls cost more than its work; the schedule takes 320 bytes of each.
+LANES = 1 << 15
+SHA1_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0)
+SHA1_ADDED = (0x5A827999, 0x6ED9EBA1, 0x8F1BBCDC, 0xCA62C1D6)
 
 
 def shingle_rows(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
@@ -107,28 +116,167 @@ def candidates(banded: DataFrame, key: str) -> DataFrame:
     return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
 
 
-def minhash_pairs(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
-    """(a, b) as candidates(bands(minhash(df))) has them; exact. Rows without shingles have equal signatures, so each two of them are a pair.
+def minhash_pairs(df: DataFrame, key: str, text: str, k: int = 3, bands: int = 20, rows: int = 5) -> DataFrame:
+    """(a, b) as candidates(bands(minhash(.))) has them, of distinct texts named by their least key; exact. Rows without shingles have equal signatures, so each two of them are a pair.
 
-    A band in common needs equal minima, and so shingles that both rows have. So signatures of shingles that several rows have are made
-    first: where these minima differ in a place, the whole ones do not agree there. Only rows that share a band of these get whole signatures.
+    Shingles are never rows and go to no disk: each task finds minima within its texts. Rows that share a band share its first minimum, so the
+    first of each band comes first, and the other four only where another row has the same one (19 % of the bands of sf0.1).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # minima cost time, not bytes
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("fp"), F.col(text).alias("text"))
+    kept = docs.groupBy("fp").agg(F.min("id").alias("id"))
+    spread = docs.repartition(n, "id")
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return spread.join(wanted.repartition(n, "id"), ["id", "fp"]).select("id", "fp", T.shingles(F.col("text"), k).alias("shingles"), "bands")
+
+    everywhere = F.sequence(F.lit(0), F.lit(bands - 1))
+    first = cut(least_sha1(of(kept.withColumn("bands", everywhere)), [0], bands, rows))
+    one = shared_keys(first, 1)
+    wanted = one.groupBy("id").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    rest = least_sha1(of(first.select("id", "fp").distinct().join(wanted, "id")), list(range(1, rows)), bands, rows)
+    same = shared_keys(rest, rows - 1, one)
+    a, b = same.select(F.col("id").alias("a"), "band", "key"), same.select(F.col("id").alias("b"), "band", "key")
+    none = cut(first.where("minima IS NULL").select("id").join(first.where("minima IS NOT NULL").select("id"), "id", "left_anti").distinct())
+    empty = none.select(F.col("id").alias("a")).crossJoin(none.select(F.col("id").alias("b"))).where("a < b")
+    return a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct().unionByName(empty)
+
+
+def shared_keys(found: DataFrame, places: int, before: DataFrame | None = None) -> DataFrame:
+    """(id, band, key) of the minima of least_sha1, where two ids or more have this key in this band; before: such rows of the places before, whose keys come first."""
+    size = 20 * places
+    each = found.where("minima IS NOT NULL").select("id", F.posexplode("bands").alias("at", "band"), "minima")
+    piece = lambda p: F.expr(f"substring(minima, at * {size} + {20 * p + 1}, 20)")
+    parts = each.select("id", "band", *[piece(p).alias(f"m{p}") for p in range(places)])
+    mins = parts.groupBy("id", "band").agg(*[F.min(f"m{p}").alias(f"m{p}") for p in range(places)])  # a row may come in pieces
+    own = mins.select("id", "band", F.concat(*[f"m{p}" for p in range(places)]).alias("key"))
+    if before is not None:
+        own = own.join(before.withColumnRenamed("key", "first"), ["id", "band"]).select("id", "band", F.concat("first", "key").alias("key"))
+    return cut(own.withColumn("n", F.count("*").over(W.partitionBy("band", "key"))).where("n > 1").select("id", "band", "key"))
+
+
+def least_sha1(docs: DataFrame, places: list[int], bands: int, rows: int) -> DataFrame:
+    """(id, fp, bands, minima) of docs (id, fp, shingles, bands): for each of the bands and each of these places in it, the least salted SHA-1 of the shingles, 20 bytes each.
+
+    A row with many shingles may come in several pieces, and the least of their minima is its own; null for rows without any.
     """
-    hashed = lambda d: d.withColumn("h", F.xxhash64("shingle"))
-    rows = cut(hashed(shingle_rows(df, key, text, k)))
-    common = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    first = signatures(rows.join(common, "h", "left_semi"), key)
-    near = candidates(cut(bands(first, key)), key)
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias(key)).distinct())
-    whole = signatures(rows.join(wanted, key, "left_semi"), key)
-    none = cut(df.select(key).join(rows.select(key), key, "left_anti").distinct())
-    empty = none.select(F.col(key).alias("a")).crossJoin(none.select(F.col(key).alias("b"))).where("a < b")
-    return candidates(cut(bands(whole, key)), key).unionByName(empty)
-
-
-def signatures(rows: DataFrame, key: str, n: int = 100) -> DataFrame:
-    """(key, signature) of rows (key, shingle): minhash of rows that have shingles."""
-    salted = [F.min(F.sha1(F.concat(F.lit(f"{i}_"), F.col("shingle")).cast("binary"))).alias(f"m{i}") for i in range(n)]
-    return rows.groupBy(key).agg(*salted).select(key, F.array(*[F.col(f"m{i}") for i in range(n)]).alias("signature"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps, wanted, minima = [], [], [], []
+            ends = b.column(2).offsets.to_numpy()
+            values, lists = b.column(2).values, b.column(3).to_pylist()
+            for d in np.flatnonzero(ends[1:] == ends[:-1]).tolist():
+                ids.append(d), minima.append(None)
+            for at in range(int(ends[0]), int(ends[-1]), LANES):
+                to = min(at + LANES, int(ends[-1]))
+                d0, d1 = int(np.searchsorted(ends, at, "right")) - 1, int(np.searchsorted(ends, to, "left"))
+                cuts = np.clip(ends[d0 : d1 + 1], at, to) - at
+                has = np.flatnonzero(cuts[1:] > cuts[:-1])
+                own = [lists[d0 + d] for d in has]
+                found = piece_minima(values.slice(at, to - at), cuts[:-1][has], own, places, bands, rows)
+                ids += (d0 + has).tolist()
+                minima += [found[j][w].tobytes() for j, w in enumerate(own)]
+            take = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(3).take(take), pa.array(minima, pa.binary())], names=["id", "fp", "bands", "minima"])
+
+    return docs.mapInArrow(run, "id bigint, fp binary, bands array<int>, minima binary")
+
+
+def piece_minima(values: pa.Array, starts: np.ndarray, wanted: list[list[int]], places: list[int], bands: int, rows: int) -> np.ndarray:
+    """Minima of consecutive runs of strings, which begin at starts: bytes by run, band and place; only of wanted bands."""
+    found = np.zeros((len(starts), bands, len(places), 20), np.uint8)
+    lens = np.diff(np.append(starts, len(values)))
+    want = np.zeros((len(starts), bands), bool)
+    for j, w in enumerate(wanted):
+        want[j, w] = True
+    ready, hasher = None, None
+    for band in range(bands):
+        runs = np.flatnonzero(want[:, band])
+        if not len(runs):
+            continue
+        for p, place in enumerate(places):
+            salt = f"{band * rows + place}_".encode()
+            if ready is None or ready[0] != len(salt) or not np.array_equal(ready[1], runs):
+                some = values if len(runs) == len(starts) else values.take(pa.array(np.flatnonzero(np.repeat(want[:, band], lens))))
+                ready, hasher = (len(salt), runs), SaltedSha1(some, len(salt))
+            found[runs, band, p] = least(hasher.digests(salt), lens[runs])
+    return found
+
+
+def least(words: list[np.ndarray], lens: np.ndarray) -> np.ndarray:
+    """The least digest of each run of so many, as 20 bytes; words: the five of each digest."""
+    high = (words[0].astype(np.uint64) << np.uint64(32)) | words[1]
+    low = np.minimum.reduceat(high, np.append(0, np.cumsum(lens)[:-1]))
+    hit = np.flatnonzero(high == np.repeat(low, lens))
+    run = np.searchsorted(np.cumsum(lens), hit, "right")
+    order = np.lexsort((words[4][hit], words[3][hit], words[2][hit], run))
+    best = hit[order][np.unique(run[order], return_index=True)[1]]
+    return np.stack([w[best] for w in words], axis=1).astype(">u4").view(np.uint8).reshape(-1, 20)
+
+
+class SaltedSha1:
+    """SHA-1 of salt + string for many strings at once and salts of one length.
+
+    Strings that fill one block with their salt are hashed side by side, and their schedule is made once: it is linear, so a salt's own one is put in by XOR. Longer ones go to hashlib.
+    """
+
+    def __init__(self, strings: pa.Array, salt: int):
+        n = len(strings)
+        ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends, size = ends - ends[0], np.diff(ends)
+        self.long = np.flatnonzero(size + salt > 55)
+        self.texts = [data[ends[j] : ends[j + 1]].tobytes() for j in self.long]
+        block = np.zeros(n * 64, np.uint8)
+        row = np.arange(n) * 64 + salt
+        if len(self.long):
+            short = np.repeat(size + salt <= 55, size)
+            size = np.where(size + salt > 55, 0, size)
+            data, ends = data[short], np.append(0, np.cumsum(size))
+        block[np.arange(len(data)) + np.repeat(row - ends[:-1], size)] = data
+        block[row + size] = 0x80
+        bits = (size + salt) * 8
+        block[row - salt + 62], block[row - salt + 63] = bits >> 8, bits & 255
+        self.w = [np.ascontiguousarray(x) for x in block.view(">u4").reshape(n, 16).T.astype(np.uint32)]
+        for t in range(16, 80):
+            x = self.w[t - 3] ^ self.w[t - 8]
+            x ^= self.w[t - 14]
+            x ^= self.w[t - 16]
+            self.w.append((x << np.uint32(1)) | (x >> np.uint32(31)))
+        self.state = [np.empty(n, np.uint32) for _ in range(7)]
+
+    def digests(self, salt: bytes) -> list[np.ndarray]:
+        """The five words of each digest."""
+        own = [int.from_bytes(salt.ljust(4, b"\0"), "big")] + [0] * 15
+        for t in range(16, 80):
+            x = own[t - 3] ^ own[t - 8] ^ own[t - 14] ^ own[t - 16]
+            own.append(((x << 1) | (x >> 31)) & 0xFFFFFFFF)
+        add, xor, both, either, left, right = np.add, np.bitwise_xor, np.bitwise_and, np.bitwise_or, np.left_shift, np.right_shift
+        a, b, c, d, e, x, y = self.state
+        for v, h in zip((a, b, c, d, e), SHA1_START):
+            v.fill(h)
+        for t in range(80):
+            add(e, xor(self.w[t], own[t], out=x) if own[t] else self.w[t], out=e)
+            add(e, SHA1_ADDED[t // 20], out=e)
+            if t < 20:
+                xor(both(xor(c, d, out=x), b, out=x), d, out=x)
+            elif 40 <= t < 60:
+                xor(both(xor(c, d, out=x), b, out=x), both(c, d, out=y), out=x)
+            else:
+                xor(xor(b, c, out=x), d, out=x)
+            add(e, x, out=e)
+            add(e, left(a, 5, out=x), out=e)
+            add(e, right(a, 27, out=x), out=e)
+            left(b, 30, out=x)
+            either(right(b, 2, out=b), x, out=b)
+            a, b, c, d, e = e, a, b, c, d
+        words = [v + np.uint32(h) for v, h in zip((a, b, c, d, e), SHA1_START)]
+        if len(self.long):
+            digests = np.frombuffer(b"".join(hashlib.sha1(salt + s).digest() for s in self.texts), ">u4").reshape(-1, 5)
+            for v, col in zip(words, digests.T):
+                v[self.long] = col
+        return words
 
 
 def set_bands(sets: DataFrame, n: int = 20, rows: int = 5) -> DataFrame:

@@ -54,11 +54,6 @@ VOC = "voc AS (SELECT lower(w) AS word, count(*) AS freq FROM (SELECT unnest(" +
 DEL = lambda c: f"list_filter(list_distinct(list_concat([{c}], list_transform(range(1, length({c}) + 1), lambda i: {c}[1:i - 1] || {c}[i + 1:]))), lambda x: x <> '')"
 
 
-def distinct_texts(s, d):
-    """One row for each distinct text of a document."""
-    return t(s, d, "documents").where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("id"))
-
-
 DISTINCT = "texts AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text)"
 #: Similar pairs of representatives of equal shingle sets, and every other member with its representative.
 JACCARD = f"""WITH {SHG('documents', 'doc_id', 5)}, hs AS (SELECT id, list(s ORDER BY s) AS l FROM sh GROUP BY id), rep AS (SELECT min(id) AS id, any_value(len(l)) AS n, l FROM hs GROUP BY l), r AS (SELECT sh.id, s, n FROM sh JOIN rep USING (id)),
@@ -155,7 +150,7 @@ SELECT k AS p_partkey, last[length(b) + 1]::BIGINT AS distance FROM o WHERE i =
         f"WITH {SHG('benchmark', 'item_id', 3)}, {SIG('sh')} SELECT x.id AS a, y.id AS b, round(len(list_filter(range(1, 101), lambda i: x.sig[i] = y.sig[i])) / 100.0::DOUBLE, 6) AS agreement FROM sg x, sg y WHERE x.id % 100 = 0",
     ),
     "lsh_pairs": (
-        lambda s, d: D.minhash_pairs(distinct_texts(s, d), "id", "text"),
+        lambda s, d: D.minhash_pairs(t(s, d, "documents"), "doc_id", "text"),
         f"WITH {DISTINCT}, {SHG('texts', 'id', 3)}, {SIG('sh')}, bd AS (SELECT id, b, array_to_string(sig[b * 5 + 1:b * 5 + 5], '|') AS k FROM sg, range(20) r(b)) SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id",
     ),
     "lsh_verified": (lambda s, d: D.lsh_similar(t(s, d, "documents"), "doc_id", "text", members=True).select("a", "b", *R6("jaccard")), JACCARD),
